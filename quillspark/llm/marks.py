@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # The characters with the Unicode property White_Space.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r \x85\xa0            "
@@ -16,10 +18,15 @@ JAVA_SPACE = f"[{_SPACES}]"
 JAVA_INVISIBLE = f"[{_MARKS}]"
 JAVA_UNSEEN = f"[{_SPACES}{_MARKS}]"
 
-DROP_INVISIBLE = {ord(c): None for c in INVISIBLE}
-DROP_UNSEEN = {ord(c): None for c in WHITE_SPACE + INVISIBLE}
+
+_SEEN = re.compile(f"[^{re.escape(WHITE_SPACE + INVISIBLE)}]")
+_INVISIBLE = re.compile(f"[{INVISIBLE}]")
 
 
 def is_blank(text: str) -> bool:
     """Whether only white space and invisible characters are in ``text``."""
-    return not text.translate(DROP_UNSEEN)
+    return not _SEEN.search(text)
+
+
+def drop_invisible(text: str) -> str:
+    return _INVISIBLE.sub("", text)
