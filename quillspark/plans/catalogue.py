@@ -1,2 +1,528 @@
-QUERIES = {}
-ORACLE = {}
+"""The core's queries over the tables, each with its SQL twin where SQL can say the same.
+
+``SURVEY`` identifiers in the comments name the operators that a query runs. Lists are joined by U+001F in results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark import models
+from quillspark.functions import quality as q
+from quillspark.functions import text as t
+from quillspark.operators import crawl, ledger, ocr, outline, records, retrieval, timestamps, vectors
+from quillspark.util import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+SEP = "\x1f"
+SITE = "אתר.?הזכויות"
+S = t.SPACE
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{S}]+|[{S}]+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '[{S}]+'), lambda w: w <> '')"
+
+
+def _sentences(x: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])[{S}]+([{t.SENTENCE_START}])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+_EMPTY = "{'done': []::VARCHAR[], 'now': ''}"
+
+
+def _hard(x: str, most: int) -> str:
+    fold = (
+        f"list_reduce({_words(x)}, lambda a, w: CASE WHEN a.now = '' THEN {{'done': a.done, 'now': w}} WHEN length(a.now) + 1 + length(w) <= {most} "
+        f"THEN {{'done': a.done, 'now': a.now || ' ' || w}} ELSE {{'done': list_append(a.done, a.now), 'now': w}} END, {_EMPTY})"
+    )
+    return f"CASE WHEN length({x}) <= {most} THEN [{x}] WHEN len({_words(x)}) = 0 THEN []::VARCHAR[] ELSE list_append(({fold}).done, ({fold}).now) END"
+
+
+# ---- cleaning, sentences, chunks -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT file_id, md5(regexp_replace(regexp_replace(markdown, '[{t.MARKS}]', '', 'g'), '[{t.OCR_MATTER}]', '', 'g')) AS clean FROM extracted_file")
+def clean_text(spark, d):  # T1 T2
+    return table(spark, d, "extracted_file").select("file_id", F.md5(t.strip_ocr_matter(t.strip_marks(F.col("markdown"))).cast("binary")).alias("clean"))
+
+
+@query(f"SELECT doc_id, CAST(no AS BIGINT) AS no, sentence FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, {_sentences('text')} AS s FROM documents WHERE text IS NOT NULL))")
+def sentence_split(spark, d):  # T4
+    return table(spark, d, "documents").select("doc_id", F.posexplode(t.sentences(F.col("text"))).alias("at", "sentence")).select("doc_id", (F.col("at") + 1).cast("bigint").alias("no"), "sentence")
+
+
+@query(f"SELECT doc_id, CAST(no AS BIGINT) AS no, piece FROM (SELECT doc_id, unnest(s) AS piece, generate_subscripts(s, 1) AS no FROM (SELECT doc_id, {_hard('text', 120)} AS s FROM documents WHERE text IS NOT NULL))")
+def hard_split(spark, d):  # T5
+    return table(spark, d, "documents").select("doc_id", F.posexplode(t.hard_split(F.col("text"), 120)).alias("at", "piece")).select("doc_id", (F.col("at") + 1).cast("bigint").alias("no"), "piece")
+
+
+_CHUNKS = f"""
+    WITH cleaned AS (SELECT doc_id, lang, regexp_replace(regexp_replace(text, '[{t.MARKS}]', '', 'g'), '[{t.OCR_MATTER}]', '', 'g') AS x FROM documents WHERE text IS NOT NULL),
+    paras AS (SELECT doc_id, lang, list_filter(list_transform(string_split(x, chr(10) || chr(10)), lambda p: {_strip('p')}), lambda p: p <> '') AS ps FROM cleaned),
+    units AS (SELECT doc_id, lang, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= 400 THEN [p] ELSE {_sentences('p')} END)) AS us FROM paras),
+    pieces AS (SELECT doc_id, lang, flatten(list_transform(us, lambda u: {_hard('u', 400)})) AS ps FROM units),
+    packed AS (SELECT doc_id, lang, list_reduce(ps, lambda a, p: CASE WHEN a.now <> '' AND length(a.now) + length(p) > 400
+        THEN {{'done': list_append(a.done, {_strip('a.now')}), 'now': p || ' '}} ELSE {{'done': a.done, 'now': a.now || p || ' '}} END, {_EMPTY}) AS r FROM pieces WHERE len(ps) > 0),
+    chunked AS (SELECT doc_id, lang, list_append(r.done, {_strip('r.now')}) AS c FROM packed),
+    chunks AS (SELECT doc_id, lang, unnest(c) AS chunk, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS chunk_idx FROM chunked)"""
+
+
+def _chunked(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", t.strip_ocr_matter(t.strip_marks(F.col("text"))).alias("x"))
+    return docs.select("doc_id", "lang", F.posexplode(t.chunks(F.col("x"))).alias("at", "chunk")).withColumn("chunk_idx", F.col("at").cast("bigint")).drop("at")
+
+
+@query(_CHUNKS + " SELECT doc_id, chunk_idx, chunk FROM chunks")
+def chunk_documents(spark, d):  # T6 D5
+    return _chunked(spark, d).select("doc_id", "chunk_idx", "chunk")
+
+
+@query(_CHUNKS + " SELECT coalesce(lang, '?') AS language, CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs, round(avg(length(chunk)), 3) AS mean_chars FROM chunks GROUP BY 1")
+def chunk_stats(spark, d):  # T6 A6
+    return _chunked(spark, d).groupBy(F.coalesce("lang", F.lit("?")).alias("language")).agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(F.avg(F.length("chunk")), 3).alias("mean_chars"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_replace(x, '^[%s]+', '') <> '' THEN chr(8207) || x ELSE x END), chr(10)) AS anchored FROM documents" % S)
+def anchor_lines(spark, d):  # T11
+    return table(spark, d, "documents").select("doc_id", t.anchor_lines(F.col("text")).alias("anchored"))
+
+
+# ---- quality gates ---------------------------------------------------------------------------------------------------
+
+_LOOPED = "CASE WHEN doc_id % 7 = 0 THEN text || repeat(' abc1 abc2 abc3', 12) ELSE text END"
+
+
+@query(f"""
+    WITH x AS (SELECT doc_id, {_LOOPED} AS t FROM documents), w AS (SELECT doc_id, {_words('t')} AS w, list_transform(list_filter(string_split_regex(t, '[\\s\\x0b.\\x{{A0}}]+'), lambda s: length(s) >= 3), lambda s: left(s, 3)) AS h FROM x),
+    r AS (SELECT doc_id, w, CASE WHEN len(h) = 0 THEN 1 ELSE (list_reduce(h, lambda a, s: {{'head': s, 'run': CASE WHEN a.head = s THEN a.run + 1 ELSE 1 END,
+        'best': greatest(a.best, CASE WHEN a.head = s THEN a.run + 1 ELSE 1 END)}}, {{'head': '', 'run': 0, 'best': 1}})).best END AS best FROM w)
+    SELECT doc_id, CASE WHEN w IS NULL THEN NULL ELSE round(len(list_distinct(w)) / nullif(len(w), 0), 6) END AS unique_ratio, CASE WHEN w IS NULL THEN NULL ELSE CAST(best AS INTEGER) END AS longest_run,
+      coalesce(len(w) >= 40 AND (len(list_distinct(w)) / len(w) < 0.3 OR best >= 5), false) AS degenerate FROM r""")
+def degenerate_flags(spark, d):  # T7 A8 A9 W2
+    x = table(spark, d, "documents").select("doc_id", F.expr(_LOOPED).alias("x"))
+    return x.select("doc_id", F.round(q.unique_ratio(F.col("x")), 6).alias("unique_ratio"), q.prefix_run(F.col("x")).alias("longest_run"), q.is_degenerate(F.col("x")).alias("degenerate"))
+
+
+def _ratio(block: str) -> str:
+    letters = r"regexp_replace(x, '[^\p{L}]', '', 'g')"
+    return f"length(regexp_replace({letters}, '[^{block}]', '', 'g')) / nullif(length({letters}), 0)"
+
+
+@query(rf"SELECT file_id, round({_ratio(r'\x{0590}-\x{05FF}')}, 6) AS hebrew_ratio, coalesce({_ratio(r'\x{0590}-\x{06FF}')} >= 0.3, false) AS rtl FROM (SELECT file_id, markdown AS x FROM extracted_file)")
+def script_profile(spark, d):  # P4 T10 L4
+    return table(spark, d, "extracted_file").select("file_id", F.round(q.hebrew_ratio(F.col("markdown")), 6).alias("hebrew_ratio"), q.is_rtl(F.col("markdown")).alias("rtl"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda w: w <> '')) AS word FROM documents),
+    n AS (SELECT doc_id, lang, count(*) AS n FROM w JOIN common_word USING (word) GROUP BY 1, 2)
+    SELECT doc_id, lang AS detected, CAST(n AS BIGINT) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, lang) AS r FROM n) WHERE r = 1""")
+def detect_language(spark, d):  # T9
+    return _detected(table(spark, d, "documents"), table(spark, d, "common_word"), "doc_id", "text")
+
+
+def _detected(docs, common, key, text):
+    """Language by frequent words: a document's own words are counted first, the small list is broadcast."""
+    words = docs.select(key, F.explode(F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")).alias("word"))
+    counted = words.join(F.broadcast(common.select("word", F.col("lang").alias("__lang"))), "word").groupBy(key, "__lang").agg(F.count("*").alias("n"))
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "__lang")).alias("b"))
+    return best.select(key, F.col("b.__lang").alias("detected"), (-F.col("b.m")).alias("hits"))
+
+
+@query(f"""
+    WITH w AS (SELECT file_id, unnest(list_filter(string_split_regex(lower(markdown), '[^\\p{{L}}]+'), lambda w: w <> '')) AS word FROM extracted_file),
+    n AS (SELECT file_id, lang, count(*) AS n FROM w JOIN common_word USING (word) GROUP BY 1, 2),
+    best AS (SELECT file_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, lang) AS r FROM n) WHERE r = 1)
+    SELECT f.file_id, coalesce(len({_words('markdown')}) >= 6 AND NOT coalesce(b.lang = f.detected_lang OR (f.detected_lang = 'he' AND b.lang IN ('he', 'yi')) OR (f.detected_lang = 'ar' AND b.lang IN ('ar', 'fa', 'ur', 'ps')), false), false) AS wrong
+    FROM extracted_file f LEFT JOIN best b ON f.file_id = b.file_id""")
+def wrong_language(spark, d):  # T8 J4
+    files = table(spark, d, "extracted_file")
+    found = _detected(files, table(spark, d, "common_word"), "file_id", "markdown")
+    return files.join(found, "file_id", "left").select("file_id", q.wrong_language(F.col("markdown"), F.col("detected"), F.col("detected_lang")).alias("wrong"))
+
+
+_SUFFIX = r"lower(regexp_extract(path, '[^./]*(\.[^./]+)$', 1))"
+
+
+@query(rf"""SELECT file_id, CASE WHEN coalesce(hebrew_ocr_used, false) THEN true WHEN {_SUFFIX} NOT IN ('.pdf', '.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp') THEN false
+      WHEN {_ratio(r'\x{0590}-\x{05FF}')} >= 0.15 THEN true ELSE coalesce(detected_lang = 'he', false) END AS hebrew,
+      coalesce(length(x) >= 200 AND {_ratio(r'\x{0590}-\x{05FF}')} IS NOT NULL, false) AS native_text FROM (SELECT *, markdown AS x FROM extracted_file)""")
+def hebrew_resolve(spark, d):  # P1 P3 S3 P5 P19
+    f = table(spark, d, "extracted_file")
+    return f.select("file_id", q.resolve_hebrew(F.col("hebrew_ocr_used"), t.suffix_of(F.col("path")), q.hebrew_ratio(F.col("markdown")), F.col("detected_lang") == "he").alias("hebrew"), q.native_text_serves(F.col("markdown"), F.lit(False)).alias("native_text"))
+
+
+@query(rf"""SELECT file_id, CASE WHEN s IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.tif', '.tiff', '.webp') THEN 'image' WHEN s = '.pdf' THEN CASE WHEN length_ > 20971520 THEN 'too_large' ELSE 'inline' END
+      WHEN trim(coalesce(markdown, '')) = '' THEN 'placeholder' ELSE 'text' END AS route FROM (SELECT file_id, markdown, "length" AS length_, {_SUFFIX} AS s FROM extracted_file)""")
+def preview_route(spark, d):  # P2
+    return table(spark, d, "extracted_file").select("file_id", q.preview_route(t.suffix_of(F.col("path")), F.col("length"), F.col("markdown")).alias("route"))
+
+
+# ---- answers ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH a AS (SELECT conv_id, turn, content, {_strip("regexp_replace(content, '(?is)<think>.*?</think>', '', 'g')")} AS c FROM chat_turn),
+    b AS (SELECT *, {_strip("regexp_replace(c, '(?is)<think>.*', '', 'g')")} AS u FROM a)
+    SELECT conv_id, turn, CASE WHEN NOT contains(lower(c), '<think>') THEN c WHEN u = '' THEN '{t.NO_ANSWER.replace("'", "''")}' ELSE u END AS answer FROM b""")
+def strip_thinking(spark, d):  # T12
+    return table(spark, d, "chat_turn").select("conv_id", "turn", t.strip_thinking(F.col("content")).alias("answer"))
+
+
+_CITES = t.CITATION.replace("(?iu)", "(?i)").replace("'", "''")
+
+
+@query(f"""
+    WITH p AS (SELECT conv_id, turn, sent_at, role, content, list_filter(list_transform(string_split_regex(regexp_replace(content, '([.!?])[{S}]+', '\\1' || chr(10), 'g'), '\\n+'),
+      lambda s: regexp_replace(s, '^[ \\-•\\t\\n]+|[ \\-•\\t\\n]+$', '', 'g')), lambda s: s <> '' AND regexp_matches(s, '{_CITES}')) AS c FROM chat_turn)
+    SELECT conv_id, turn, CASE WHEN content IS NULL THEN NULL ELSE array_to_string(list_sort(list_distinct(c)), chr(31)) END AS cited, CASE WHEN content IS NULL THEN NULL ELSE len(c) = 0 END AS uncited FROM p""")
+def extract_citations(spark, d):  # T14 T15 U3 P17 D20
+    c = t.citations(F.col("content"))
+    return table(spark, d, "chat_turn").select("conv_id", "turn", F.array_join(F.array_sort(c), SEP).alias("cited"), (F.length(t.warn_uncited(F.col("content"))) > F.length("content")).alias("uncited"))
+
+
+_ASKED = "CASE WHEN turn % 3 = 0 THEN concat('please make me a slide deck about ', coalesce(content, '')) WHEN turn % 3 = 1 THEN concat('my presentation tomorrow: ', coalesce(content, '')) ELSE content END"
+
+
+@query(rf"SELECT conv_id, turn, regexp_matches(coalesce(x, ''), '{t.SLIDES_NOUN}') AND regexp_matches(coalesce(x, ''), '{t.SLIDES_VERB}') AS slides FROM (SELECT conv_id, turn, {_ASKED} AS x FROM chat_turn)")
+def pptx_intent(spark, d):  # P16
+    return table(spark, d, "chat_turn").select("conv_id", "turn", t.asks_for_slides(F.expr(_ASKED)).alias("slides"))
+
+
+@query("SELECT turn % 4 AS kind, CAST(greatest(coalesce(nullif(CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 4096 ELSE 16384 END, 0), 8192), 2048 * (turn % 4 + 1) + 2048) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS n FROM chat_turn GROUP BY ALL")
+def num_ctx(spark, d):  # P20
+    turns = table(spark, d, "chat_turn").select((F.col("turn") % 4).alias("kind"), F.expr("CASE turn % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 4096 ELSE 16384 END").alias("wanted"), (2048 * (F.col("turn") % 4 + 1)).alias("predict"))
+    return turns.groupBy("kind", t.window_tokens(F.col("wanted"), F.col("predict")).cast("bigint").alias("tokens")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH q AS (SELECT conv_id, min(coalesce(content, '')) AS a FROM chat_turn GROUP BY 1), x AS (SELECT conv_id, CASE WHEN length(a) > 60 THEN left(a, 60) || chr(10) || '[...truncated, file is longer...]' ELSE a END AS docs FROM q)
+    SELECT conv_id, part, turn, role, content FROM (
+      SELECT conv_id, 1 AS part, turn, role, content FROM chat_turn WHERE content IS NOT NULL UNION ALL
+      SELECT conv_id, 0, 0, 'system', 'Answer from the documents.' FROM x UNION ALL
+      SELECT conv_id, 2, 0, 'user', CASE WHEN docs <> '' THEN 'The user attached the following document(s):' || chr(10) || chr(10) || docs || chr(10) || chr(10) || 'User question: What follows?' ELSE 'What follows?' END FROM x)""")
+def chat_messages(spark, d):  # U4 P15 T22 L3 D12
+    turns = table(spark, d, "chat_turn")
+    asked = turns.groupBy("conv_id").agg(F.min(F.coalesce("content", F.lit(""))).alias("a"))
+    asked = asked.select("conv_id", retrieval.user_message(F.lit("What follows?"), t.truncate(F.col("a"), 60, retrieval.CUT_MARK)).alias("content"))
+    return retrieval.messages(turns, asked, "Answer from the documents.")
+
+
+@query("SELECT conv_id, turn, coalesce(json_extract_string('{\"detail\": ' || to_json(content) || '}', '$.detail'), '') AS detail, 'Summarize this in 3-5 bullet points:' || chr(10) || chr(10) || content AS prompt FROM chat_turn")
+def error_and_summary(spark, d):  # N4 T29
+    turns = table(spark, d, "chat_turn")
+    body = F.to_json(F.struct(F.col("content").alias("detail")))
+    detail = F.coalesce(F.get_json_object(body, "$.detail"), F.when(F.col("content").isNotNull(), body), F.lit(""))
+    return turns.select("conv_id", "turn", detail.alias("detail"), retrieval.summary_prompt(F.col("content"), F.lit("Italian"))["user"].alias("prompt"))
+
+
+# ---- canons, retrieval -----------------------------------------------------------------------------------------------
+
+_ID = "coalesce(nullif(chunk_id, ''), concat('CIC-it-', coalesce(canon_number, 'None')))"
+_EMBED = "coalesce(nullif(embed_text, ''), text, '')"
+
+
+@query(f"""SELECT key, rec_id, CAST(first_seen AS BIGINT) AS first_seen, CAST(n_records AS BIGINT) AS n_records, CAST(length(e) AS BIGINT) AS size FROM (
+      SELECT {_ID} AS key, rec_id, {_EMBED} AS e, min(rec_id) OVER (PARTITION BY {_ID}) AS first_seen, count(*) OVER (PARTITION BY {_ID}) AS n_records,
+        row_number() OVER (PARTITION BY {_ID} ORDER BY length({_EMBED}) DESC, rec_id) AS r FROM cic_it_canons) WHERE r = 1""")
+def dedupe_longest(spark, d):  # A3 W1 P11 P12
+    rows = table(spark, d, "cic_it_canons").withColumn("e", records.text_to_embed())
+    return records.keep_longest(rows, records.canon_id(), F.length("e"), "rec_id").select("key", "rec_id", "first_seen", "n_records", F.length("e").cast("bigint").alias("size"))
+
+
+_META = ", ".join(f"coalesce({c}, '')" for c in records.CANON_METADATA)
+
+
+@query(f"SELECT rec_id, {_ID} AS id, concat_ws('|', {_META}) AS metadata, 'search_document: ' || {_EMBED} AS to_embed, text AS document FROM cic_it_canons WHERE {_EMBED} <> ''")
+def vector_records(spark, d):  # P10 P11 P12 T19 D10
+    rows = records.sanitise(table(spark, d, "cic_it_canons").withColumns({"id": records.canon_id(), "e": records.text_to_embed()}).where("e <> ''"))
+    return rows.select("rec_id", "id", F.concat_ws("|", *records.CANON_METADATA).alias("metadata"), F.concat(F.lit("search_document: "), "e").alias("to_embed"), F.col("text").alias("document"))
+
+
+@query(f"""SELECT key, source_url FROM (SELECT {_ID} AS key, source_url, row_number() OVER (PARTITION BY {_ID} ORDER BY CASE WHEN rec_id % 2 = 0 THEN 0 ELSE 1 END, rec_id DESC) AS r FROM cic_it_canons) WHERE r = 1""")
+def vector_upsert(spark, d):  # K1
+    rows = table(spark, d, "cic_it_canons").select(records.canon_id().alias("key"), "rec_id", "source_url")
+    old, new = rows.where("rec_id % 2 = 1"), rows.where("rec_id % 2 = 0")
+    return records.upsert(records.keep_one(old, "key"), new, "key").select("key", "source_url")
+
+
+_KNN = """
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    far AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(q.v, e.v), 9) AS distance FROM e q, e WHERE q.vec_id % 20 = 0),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM far)"""
+
+
+@query(_KNN + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 4) + 0.0 AS distance FROM best WHERE rank <= 5")
+def knn_topk(spark, d):  # J5 L1 D11
+    e = table(spark, d, "embeddings")
+    return vectors.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").withColumn("distance", F.round("distance", 4) + 0.0)
+
+
+@query(_KNN + """, hit AS (SELECT b.query_id, b.rank, c.* FROM best b JOIN cic_it_canons c ON c.rec_id = b.id + 1 WHERE b.rank <= 5)
+    SELECT query_id, string_agg('[Can. ' || coalesce(canon_number, '?') || '] (' || coalesce(hierarchy_path, '') || ')' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context,
+      string_agg('- **Can. ' || coalesce(canon_number, '?') || '** — ' || coalesce(hierarchy_path, '') || CASE WHEN coalesce(source_url, '') <> '' THEN '  ' || chr(10) || '  [' || source_url || '](' || source_url || ')' ELSE '' END
+        || CASE WHEN coalesce(in_force_note, '') <> '' THEN '  ' || chr(10) || '  ⚠️ ' || in_force_note ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS panel FROM hit GROUP BY 1""")
+def rag_context(spark, d):  # L1 T20 K9 J2
+    e = table(spark, d, "embeddings")
+    hits = vectors.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding")
+    canons = table(spark, d, "cic_it_canons")
+    return retrieval.context(hits.join(canons, hits["id"] + 1 == canons["rec_id"]).drop("id"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, count(*) > 0 AS ready FROM embeddings")
+def collection_health(spark, d):  # S8 S9 A11
+    return table(spark, d, "embeddings").agg(F.count("*").alias("n"), (F.count("*") > 0).alias("ready"))
+
+
+# ---- recognised words ------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH l AS (SELECT file_id, unnest(string_split(markdown, chr(10))) AS line, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS ln FROM extracted_file WHERE markdown IS NOT NULL),
+    w AS (SELECT file_id, ln, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) - 1 AS pos FROM l),
+    k AS (SELECT file_id, ln // 5 AS b, (ln // 2) % 2 AS p, ln, pos, regexp_replace(word, '^[\\s\\x0b\\x{{A0}}]+|[\\s\\x0b\\x{{A0}}]+$', '', 'g') AS word, (pos * 37 + file_id) % 100 AS conf FROM w),
+    g AS (SELECT * FROM k WHERE word <> '' AND conf >= 40 AND pos % 11 <> 10),
+    li AS (SELECT file_id, b, p, ln, string_agg(word, ' ' ORDER BY pos) AS t FROM g GROUP BY ALL), pa AS (SELECT file_id, b, p, string_agg(t, chr(10) ORDER BY ln) AS t FROM li GROUP BY ALL)
+    SELECT file_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY b, p)) AS text FROM pa GROUP BY 1""")
+def ocr_regroup(spark, d):  # A1 P6 O2 D4 S6
+    lines = table(spark, d, "extracted_file").select("file_id", F.posexplode(F.split("markdown", "\n")).alias("ln", "line"))
+    words = lines.select("file_id", "ln", F.posexplode(F.split("line", " ")).alias("pos", "text"))
+    conf = F.when(F.col("pos") % 11 == 10, F.lit("bad")).otherwise(((F.col("pos") * 37 + F.col("file_id")) % 100).cast("string"))
+    placed = words.select("file_id", F.floor(F.col("ln") / 5).alias("block_num"), (F.floor(F.col("ln") / 2) % 2).alias("par_num"), F.col("ln").alias("line_num"), "pos", "text", conf.alias("conf"))
+    return ocr.regroup(placed, ["file_id"]).select("file_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("SELECT conv_id, md5(string_agg(content, chr(10) || chr(10) ORDER BY turn, content)) AS text FROM (SELECT DISTINCT conv_id, turn, content FROM chat_turn WHERE coalesce(content, '') <> '') GROUP BY 1")
+def page_concat(spark, d):  # A2 A10 D3
+    pages = table(spark, d, "chat_turn").select("conv_id", "turn", "content").distinct()
+    return ocr.join_pages(pages, "conv_id", "turn", "content").select("conv_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+# ---- ledger ----------------------------------------------------------------------------------------------------------
+
+_RAW = f"CASE WHEN starts_with({_strip('raw')}, '```') THEN {_strip(f"regexp_replace(regexp_replace({_strip('raw')}, '^```[a-zA-Z]*\\n?', ''), '```[{S}]*$', '')")} ELSE {_strip('raw')} END"
+_LEDGER = f"""
+    WITH r AS (SELECT invoice_id, filename, {_RAW} AS x FROM invoice_json), j AS (SELECT invoice_id, filename, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN x END AS x FROM r),
+    l AS (SELECT invoice_id, filename, CASE WHEN json_extract_string(x, '$.document_type') IN ('sales', 'expense', 'unrecognized') THEN json_extract_string(x, '$.document_type') ELSE 'unrecognized' END AS document_type,
+      coalesce(json_extract_string(x, '$.party_name'), '') AS party_name, coalesce(json_extract_string(x, '$.invoice_number'), '') AS invoice_number, coalesce(json_extract_string(x, '$.date'), '') AS date,
+      coalesce(json_extract_string(x, '$.currency'), '') AS currency,
+      CASE WHEN json_type(x, '$.amount') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN CAST(json_extract_string(x, '$.amount') AS DOUBLE) WHEN json_type(x, '$.amount') = 'BOOLEAN' THEN CASE WHEN json_extract_string(x, '$.amount') = 'true' THEN 1 ELSE 0 END END AS amount,
+      CASE WHEN json_type(x, '$.vat') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN CAST(json_extract_string(x, '$.vat') AS DOUBLE) WHEN json_type(x, '$.vat') = 'BOOLEAN' THEN CASE WHEN json_extract_string(x, '$.vat') = 'true' THEN 1 ELSE 0 END END AS vat FROM j)"""
+
+
+def _ledger(spark, d):
+    return ledger.decode(table(spark, d, "invoice_json"))
+
+
+@query(_LEDGER + " SELECT CASE document_type WHEN 'sales' THEN 'Sales' WHEN 'expense' THEN 'Expenses' ELSE 'Unrecognized' END AS sheet, invoice_id, date, invoice_number, party_name, amount, vat, currency, filename FROM l")
+def ledger_rows(spark, d):  # N3 S20 P13 P14 D13 D14 K5 T13
+    return ledger.ledger_rows(_ledger(spark, d))
+
+
+@query(_LEDGER + " SELECT document_type, CAST(count(*) AS BIGINT) AS n, round(coalesce(sum(amount), 0), 2) AS amount, round(coalesce(sum(vat), 0), 2) AS vat FROM l GROUP BY 1")
+def ledger_totals(spark, d):  # A4 A5
+    return ledger.totals(_ledger(spark, d), "document_type")
+
+
+@query(_LEDGER + " SELECT document_type, currency, CAST(count(*) AS BIGINT) AS n, round(coalesce(sum(amount), 0), 2) AS amount, round(coalesce(sum(vat), 0), 2) AS vat FROM l GROUP BY 1, 2")
+def ledger_by_currency(spark, d):  # A5, currencies apart
+    return ledger.totals(_ledger(spark, d), "document_type", "currency")
+
+
+@query(_LEDGER + """, s AS (SELECT document_type, count(*) AS n, round(coalesce(sum(amount), 0), 2) AS amount, round(coalesce(sum(vat), 0), 2) AS vat FROM l GROUP BY 1),
+    o AS (SELECT sum(n) AS n, coalesce(sum(n) FILTER (document_type = 'sales'), 0) AS sn, coalesce(sum(n) FILTER (document_type = 'expense'), 0) AS en, coalesce(sum(n) FILTER (document_type = 'unrecognized'), 0) AS un,
+      coalesce(sum(amount) FILTER (document_type = 'sales'), 0) AS sa, coalesce(sum(vat) FILTER (document_type = 'sales'), 0) AS sv, coalesce(sum(amount) FILTER (document_type = 'expense'), 0) AS ea, coalesce(sum(vat) FILTER (document_type = 'expense'), 0) AS ev FROM s)
+    SELECT format('Processed {} page(s)/file(s): {} sales, {} expenses, {} unrecognized.', n, sn, en, un) || chr(10) || format('Total sales: {:.2f} (VAT: {:.2f}) | Total expenses: {:.2f} (VAT: {:.2f})', sa, sv, ea, ev) AS summary FROM o""")
+def batch_summary(spark, d):  # T28
+    return ledger.summary_line(ledger.totals(_ledger(spark, d), "document_type"))
+
+
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS bucket, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def event_props(spark, d):  # N3
+    e = table(spark, d, "events").withColumn("bucket", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint") % 10)
+    return e.groupBy("event_type", "bucket").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
+
+
+# ---- outlines --------------------------------------------------------------------------------------------------------
+
+_DECK = """CASE WHEN turn % 5 = 4 THEN content WHEN turn % 5 = 3 THEN concat('{"title": "x", "slides": []}') ELSE
+    concat('```json', chr(10), '{"title": ', CASE WHEN turn % 2 = 0 THEN '" Deck "' ELSE '""' END, ', "slides": [{"heading": " ", "bullets": [" a ", "", ', to_json(%s), ']}, {"heading": "", "bullets": []}, 3, {"heading": "H', CAST(turn AS %s), '"}]}', chr(10), '```') END"""
+
+
+@query(f"""
+    WITH r AS (SELECT conv_id, turn, content, left({_strip("coalesce(content, '')")}, 40) AS c FROM chat_turn)
+    SELECT conv_id, turn, CASE WHEN turn % 5 >= 3 THEN NULL WHEN turn % 2 = 0 THEN 'Deck' ELSE 'Untitled Presentation' END AS title, CASE WHEN turn % 5 >= 3 THEN NULL ELSE 'Untitled: a' || CASE WHEN {_strip('c')} <> '' THEN ';' || {_strip('c')} ELSE '' END || chr(10) || 'H' || turn || ': ' END AS slides FROM r""")
+def outline_normalize(spark, d):  # N1 T13 D15
+    turns = table(spark, d, "chat_turn")
+    item = F.regexp_extract(F.to_json(F.struct(F.left(t.strip(F.coalesce("content", F.lit(""))), F.lit(40)).alias("x"))), r'^\{"x":(.*)\}$', 1)
+    good = F.concat(
+        F.lit('```json\n{"title": '), F.when(F.col("turn") % 2 == 0, '" Deck "').otherwise('""'), F.lit(', "slides": [{"heading": " ", "bullets": [" a ", "", '), item,
+        F.lit(']}, {"heading": "", "bullets": []}, 3, {"heading": "H'), F.col("turn").cast("string"), F.lit('"}]}\n```'),
+    )
+    raw = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("not json: "), F.coalesce("content", F.lit("")))).when(F.col("turn") % 5 == 3, '{"title": "x", "slides": []}').otherwise(good)
+    found = turns.select("conv_id", "turn", outline.normalise(raw).alias("o"))
+    line = F.transform("o.slides", lambda s: F.concat(s["heading"], F.lit(": "), F.array_join(s["bullets"], ";")))
+    return found.select("conv_id", "turn", F.col("o.title").alias("title"), F.array_join(line, "\n").alias("slides"))
+
+
+# ---- crawl -----------------------------------------------------------------------------------------------------------
+
+_GOOD = "(status = 200 AND robots_ok AND transport_error IS NULL)"
+
+
+_CHANGES = f"""
+    WITH p AS (SELECT *, last_value(CASE WHEN {_GOOD} THEN coalesce(sha256, '-') END IGNORE NULLS) OVER (PARTITION BY pdf_url ORDER BY ts, arrived_at NULLS FIRST, status NULLS FIRST, sha256 NULLS FIRST, etag NULLS FIRST, last_modified NULLS FIRST, robots_ok NULLS FIRST, transport_error NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
+      FROM pdf_fetch WHERE pdf_url IS NOT NULL AND ts IS NOT NULL),
+    c AS (SELECT pdf_url, ts, robots_ok, CASE WHEN NOT coalesce(robots_ok, false) OR transport_error IS NOT NULL THEN 'error' WHEN status = 304 THEN 'unchanged' WHEN coalesce(status, 0) <> 200 THEN 'error'
+      WHEN prior IS NULL THEN 'new' WHEN coalesce(sha256, '-') = prior THEN 'unchanged' ELSE 'updated' END AS outcome FROM p)"""
+
+
+@query(_CHANGES + " SELECT pdf_url, outcome, CAST(count(*) AS BIGINT) AS n, CAST(min(ts) AS VARCHAR) AS first_at FROM c GROUP BY 1, 2")
+def manifest_changes(spark, d):  # I1 W3 I3 I5 D18
+    c = crawl.manifest_changes(table(spark, d, "pdf_fetch"))
+    return c.groupBy("pdf_url", "outcome").agg(F.count("*").alias("n"), F.min("ts").cast("string").alias("first_at"))
+
+
+@query(_CHANGES + """ SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CAST(count(*) AS BIGINT) AS pdfs_seen, CAST(count(*) FILTER (outcome = 'new') AS BIGINT) AS pdfs_new, CAST(count(*) FILTER (outcome = 'updated') AS BIGINT) AS pdfs_updated,
+    CAST(count(*) FILTER (outcome = 'unchanged') AS BIGINT) AS pdfs_unchanged, CAST(count(*) FILTER (outcome = 'error') AS BIGINT) AS pdfs_error, CAST(count(*) FILTER (outcome = 'error' AND coalesce(robots_ok, false)) AS BIGINT) AS errors FROM c GROUP BY 1""")
+def crawl_stats(spark, d):  # A7 D17 I4
+    c = crawl.manifest_changes(table(spark, d, "pdf_fetch")).withColumn("month", F.trunc(F.to_date("ts"), "month"))
+    return crawl.crawl_stats(c, "month")
+
+
+@query("SELECT f.pdf_url, nullif(m.etag, '') AS if_none_match, nullif(m.last_modified, '') AS if_modified_since, m.pdf_url IS NOT NULL AS known FROM (SELECT DISTINCT pdf_url FROM pdf_fetch) f LEFT JOIN manifest m ON f.pdf_url = m.pdf_url")
+def conditional_headers(spark, d):  # I2 J1 S19
+    return crawl.conditional_headers(table(spark, d, "pdf_fetch"), table(spark, d, "manifest"))
+
+
+_PATH = r"regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(rf"""
+    WITH x AS (SELECT pdf_url, source_title, regexp_replace(coalesce(source_title, ''), '[{S}]*\((?:{t.LAW_KINDS})\)[{S}]*[-–][{S}]*{SITE}[{S}]*$', '') AS title, coalesce(nullif(regexp_extract({_PATH}, '([^/]+)/*$', 1), ''), 'document.pdf') AS base FROM manifest)
+    SELECT pdf_url, coalesce(regexp_matches(source_title, '\((?:{t.LAW_KINDS})\)[{S}]*[-–][{S}]*{SITE}'), false) AS is_law,
+      coalesce(nullif(left(regexp_replace({_strip("regexp_replace(title, '[<>:\"/\\\\|?*\\x00-\\x1f]', ' ', 'g')")}, '[{S}]+', ' ', 'g'), 150), ''), 'document') || ' -- ' || base AS filename FROM x""")
+def safe_filenames(spark, d):  # T16 T17 T18 P7 K7
+    title = t.drop_title_suffix(F.coalesce("source_title", F.lit("")), SITE)
+    return table(spark, d, "manifest").select("pdf_url", F.coalesce(t.is_law_title(F.col("source_title"), SITE), F.lit(False)).alias("is_law"), F.concat(t.safe_filename(title), F.lit(" -- "), t.url_basename(F.col("pdf_url"))).alias("filename"))
+
+
+@query(r"""
+    WITH h AS (SELECT pdf_url, lower(regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM manifest)
+    SELECT host, CAST(count(*) AS BIGINT) AS n, bool_and(host = 'zchuyot.example' OR ends_with(host, '.zchuyot.example')) AS inside FROM h GROUP BY 1""")
+def domain_filter(spark, d):  # P8 P9
+    m = table(spark, d, "manifest").select(t.url_host(F.col("pdf_url")).alias("host"), t.in_domain(F.col("pdf_url"), "zchuyot.example").alias("inside"))
+    return m.groupBy("host").agg(F.count("*").alias("n"), F.every("inside").alias("inside"))
+
+
+@query("SELECT source_page_url AS page_url, pdf_url FROM manifest WHERE source_page_url IS NOT NULL AND regexp_matches(pdf_url, '(?i)\\.pdf(?:[?#]|$)')")
+def link_scan(spark, d):  # S18 P8 D16 U1
+    m = table(spark, d, "manifest").where("source_page_url IS NOT NULL")
+    page = F.concat(F.lit("<html><head><title>Law &amp; order</title></head><body><a class=x href='"), F.replace("pdf_url", F.lit("&"), F.lit("&amp;")), F.lit("'>pdf</a><a href='/he/other'>no</a><p>unclosed</body>"))
+    return crawl.discover_pdfs(m.select(F.col("source_page_url").alias("page_url"), page.alias("html"))).select("page_url", "pdf_url")
+
+
+@query("SELECT source_page_url, pdf_url FROM (SELECT source_page_url, pdf_url, row_number() OVER (PARTITION BY source_page_url ORDER BY pdf_url) AS r FROM manifest WHERE source_page_url IS NOT NULL) WHERE r = 1")
+def distinct_first(spark, d):  # U2
+    m = table(spark, d, "manifest").where("source_page_url IS NOT NULL").select("source_page_url", "pdf_url")
+    return records.keep_first(m, ["source_page_url"], ["pdf_url"])
+
+
+@query(r"""
+    WITH u AS (SELECT DISTINCT source_page_url AS url FROM documents WHERE source_page_url IS NOT NULL), h AS (SELECT url, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS host FROM u)
+    SELECT url, 2 AS depth FROM h WHERE starts_with(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/he/')""")
+def sitemap_walk(spark, d):  # S13 J6 L2 D19
+    u = table(spark, d, "documents").where("source_page_url IS NOT NULL").select(F.col("source_page_url").alias("url")).distinct()
+    h = u.withColumn("host", F.regexp_extract("url", "^[a-z]+://[^/]+", 0))
+    top = h.select(F.lit("root").alias("parent"), F.concat("host", F.lit("/sitemap.xml")).alias("child"), F.lit(True).alias("is_index")).distinct()
+    leaves = h.select(F.concat("host", F.lit("/sitemap.xml")).alias("parent"), F.col("url").alias("child"), F.lit(False).alias("is_index"))
+    back = h.select(F.concat("host", F.lit("/sitemap.xml")).alias("parent"), F.lit("root").alias("child"), F.lit(True).alias("is_index")).distinct()
+    return crawl.walk_sitemaps(top.unionByName(leaves).unionByName(back), "root")
+
+
+@query("SELECT pdf_url, coalesce(source_page_url, 'none') AS link, 'https://zchuyot.example/w/api.php?action=feedrecentchanges&feedformat=atom&namespace=0&hideminor=1&days=1&limit=500' AS feed FROM manifest")
+def recent_changes(spark, d):  # S14 S15
+    m = table(spark, d, "manifest")
+    xml = F.concat(F.lit("<feed><entry><link href='"), F.coalesce("source_page_url", F.lit("none")), F.lit("'/><link href='x'/></entry></feed>"))
+    return m.select("pdf_url", F.get(crawl.feed_links(xml), F.lit(0)).alias("link"), crawl.feed_url(F.lit("https://zchuyot.example")).alias("feed"))
+
+
+@query("SELECT pdf_url, sha256(pdf_url) AS digest, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM pdf_fetch WHERE ts IS NOT NULL")
+def digests(spark, d):  # T25 T26
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return table(spark, d, "pdf_fetch").where("ts IS NOT NULL").select("pdf_url", F.sha2(F.col("pdf_url").cast("binary"), 256).alias("digest"), timestamps.instant_text(us).alias("at"))
+
+
+@query("SELECT file_id, 'data:application/pdf;base64,' || to_base64(encode(path)) AS uri, '--- Content of ' || path || ' ---' || chr(10) || left(coalesce(markdown, ''), 50) AS block FROM extracted_file WHERE path IS NOT NULL")
+def data_uris(spark, d):  # T27 T21
+    f = table(spark, d, "extracted_file").where("path IS NOT NULL")
+    return f.select("file_id", F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.col("path").cast("binary"))).alias("uri"), retrieval.attached(F.col("path"), F.left(F.coalesce("markdown", F.lit("")), F.lit(50))).alias("block"))
+
+
+# ---- languages and models --------------------------------------------------------------------------------------------
+
+_NAMED = "CASE doc_id % 4 WHEN 0 THEN 'Italian' WHEN 1 THEN ' HEBREW ' WHEN 2 THEN 'german' ELSE 'Arabic' END"
+
+
+@query(f"SELECT x.doc_id, l.code, '<2' || l.code || '> ' || left(text, 30) AS tagged, l.name IN ('arabic', 'hebrew') AS rtl FROM (SELECT doc_id, text, trim({_NAMED}) AS n FROM documents) x JOIN language_dim l ON lower(x.n) = lower(l.name)")
+def language_lookup(spark, d):  # P22 J3 T24 P18 D7
+    docs = table(spark, d, "documents").select("doc_id", "text", F.expr(_NAMED).alias("name"))
+    coded = records.lookup_code(docs, table(spark, d, "language_dim"), "name")
+    return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), F.left("text", F.lit(30))).alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"))
+
+
+@query()
+def translate_retry(spark, d):  # I6 I7 I9 P21 A6 T23
+    """A stand-in model that refuses long pieces; its sections are put together again with failures marked."""
+
+    def short_only(text: str, code: str) -> str:
+        if len(text) > 120:
+            raise ValueError("too long")
+        return f"[{code}] {text}"
+
+    pieces = _chunked(spark, d).where("chunk IS NOT NULL").select("doc_id", "chunk_idx", models.translate(F.col("chunk"), F.lit("it"), short_only).alias("r"))
+    return retrieval.assemble(pieces.select("doc_id", "chunk_idx", F.col("r.text").alias("t"), F.col("r.ok").alias("ok")), "doc_id", "chunk_idx", "t", "ok")
+
+
+@query()
+def embed_batch(spark, d):  # I8 T19
+    rows = table(spark, d, "cic_it_canons").withColumn("e", records.text_to_embed()).where("e <> ''")
+    return rows.select("rec_id", models.embed(F.col("e"), models.stub_embed, "search_document: ").alias("vector")).where("vector IS NOT NULL")
+
+
+@query()
+def slide_rows(spark, d):  # K3 K4 N2
+    turns = table(spark, d, "chat_turn").where("content IS NOT NULL")
+    deck = F.to_json(F.struct(F.col("role").alias("title"), F.array(F.struct(F.left("content", F.lit(40)).alias("heading"), F.array(F.col("content")).alias("bullets"))).alias("slides")))
+    return outline.slide_rows(turns.select(F.concat_ws("-", "conv_id", "turn").alias("deck"), outline.normalise(deck).alias("o")), "deck", "o")
+
+
+# ---- timestamps ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def p2_found(spark, d):
+    return timestamps.normalise_timestamps(table(spark, d, "invoice_json"), table(spark, d, "office"), "invoice_id", "date", "office_code", "received_at")[0]
+
+
+@query()
+def p2_zones(spark, d):
+    return timestamps.normalise_timestamps(table(spark, d, "invoice_json"), table(spark, d, "office"), "invoice_id", "date", "office_code", "received_at")[1]
