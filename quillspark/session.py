@@ -1,0 +1,15 @@
+"""The engine's session settings."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "quillspark", master: str | None = None, **settings: str) -> SparkSession:
+    """A session in UTC with adaptive execution; ``settings`` override (dots written as ``__``)."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    if master:
+        builder = builder.master(master)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
