@@ -33,12 +33,15 @@ _SENTENCE = re.compile("[.!?…。！？؟۔।][\"'”’»)\\]]*(?: |(?=[^\\x0
 _CLAUSE = re.compile("[,;:،؛，；：、–—|][\"'”’»)\\]]*(?: |(?=[^\\x00-\\u2fff]))")
 #: Words longer than this may be cut inside, at every so many characters.
 LONG_WORD, STEP = 40, 8
+#: Up to so many cuts, layers of whole tables are faster than a pass.
+SMALL = 260
 _LONG = re.compile(rf"[^ ]{{{LONG_WORD + 1},}}")
 
 
 def cut_candidates(text: str) -> tuple[list[int], list[float]]:
     """Positions at which a piece's new text may begin or end, in order, from 0 to len, and their penalties."""
-    cost: dict[int, float] = {m.end(): WORD for m in re.finditer(" ", text)}
+    cost: dict[int, float] = dict.fromkeys(np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32) == 32) + 1, WORD)
+    cost = {int(k): v for k, v in cost.items()}
     for pattern, value in ((_CLAUSE, CLAUSE), (_SENTENCE, SENTENCE)):
         for m in pattern.finditer(text):
             cost[m.end()] = value
@@ -59,35 +62,63 @@ def split_text(text: str, max_chars: int = 400, overlap_min: int = 40, overlap_m
         return [(0, 0, n)] if n else []
     places, costs = cut_candidates(text)
     spot, cost = np.array(places), np.array(costs)
-    first = np.searchsorted(spot, spot - overlap_max).tolist()
-    after = np.searchsorted(spot, spot - overlap_min, side="right").tolist()
-    starts = []
-    for k, c in enumerate(places):  # the most natural start of the overlap, nearest the least overlap
-        a, b = first[k], after[k]
-        starts.append(places[min(range(a, b), key=lambda i: (costs[i], -i))] if a < b else c - overlap_min)
+    last = len(places) - 1
+    first = np.searchsorted(spot, spot - overlap_max)
+    after = np.searchsorted(spot, spot - overlap_min, side="right")
+    # the most natural start of each overlap, nearest the least overlap
+    reach = first[:, None] + np.arange(max(1, int((after - first).max())))
+    key = np.where(reach < after[:, None], cost[np.minimum(reach, last)] - 1e-6 * reach, np.inf)
+    pick = key.argmin(axis=1)
+    starts = np.where(after > first, spot[np.minimum(first + pick, last)], np.maximum(spot - overlap_min, 0))
     new_max = max_chars - overlap_min
     ideal = (n - max_chars) / -(-(n - max_chars) // new_max) if n - max_chars >= new_max // 2 else n / 2
-    best, back = np.full(len(spot), np.inf), np.full(len(spot), -1)
-    reach = int(np.searchsorted(spot, max_chars, side="right"))
-    best[:reach] = cost[:reach] + BALANCE * (spot[:reach] / max_chars - 1) ** 2
-    back[:reach] = 0
-    stops = np.searchsorted(spot, np.array(starts) + max_chars, side="right").tolist()
     lowest = int(np.searchsorted(spot, overlap_max))  # an overlap needs that much text in front
-    for k in range(max(1, lowest), len(places) - 1):
-        stop = stops[k]
+    ends = np.searchsorted(spot, starts + max_chars, side="right")
+    head = int(np.searchsorted(spot, max_chars, side="right"))
+    begin = np.full(last + 1, np.inf)
+    begin[1:head] = cost[1:head] + BALANCE * (spot[1:head] / max_chars - 1) ** 2
+    cuts = _by_pieces(spot, cost, begin, ends, lowest, ideal) if last <= SMALL else _by_cuts(spot, cost, begin, ends, lowest, ideal)
+    stops = [*(places[k] for k in cuts[1:]), n]
+    return [(int(starts[k]) if k else 0, places[k], end) for k, end in zip(cuts, stops)]
+
+
+def _by_pieces(spot: np.ndarray, cost: np.ndarray, begin: np.ndarray, ends: np.ndarray, lowest: int, ideal: float) -> list[int]:
+    """Least cost over all cuts by layers of one more piece each; ends when no further layer can cost less."""
+    at = np.arange(len(spot))
+    ahead = (at[None, :] > at[:, None]) & (at[None, :] < ends[:, None]) & (at[:, None] >= max(1, lowest))
+    step = np.where(ahead, cost[None, :] + BALANCE * ((spot[None, :] - spot[:, None]) / ideal - 1) ** 2, np.inf)
+    layer, backs = begin, []
+    best, chosen = layer[-1], 0
+    while np.isfinite(low := layer[:-1].min()) and low < best:
+        through = layer[:, None] + step
+        back = through.argmin(axis=0)
+        layer = through[back, at]
+        backs.append(back)
+        if layer[-1] < best:
+            best, chosen = layer[-1], len(backs)
+    cuts, k = [], len(spot) - 1
+    for back in reversed(backs[:chosen]):
+        k = int(back[k])
+        cuts.append(k)
+    return [0, *reversed(cuts)]
+
+
+def _by_cuts(spot: np.ndarray, cost: np.ndarray, begin: np.ndarray, ends: np.ndarray, lowest: int, ideal: float) -> list[int]:
+    """The same over a long text: one pass over its cuts, each looking only as far ahead as a piece reaches."""
+    best, back = begin.copy(), np.zeros(len(spot), dtype=np.int64)
+    for k in range(max(1, lowest), len(spot) - 1):
+        stop = int(ends[k])
         if stop <= k + 1 or best[k] == np.inf:
             continue
-        total = best[k] + cost[k + 1 : stop] + BALANCE * ((spot[k + 1 : stop] - places[k]) / ideal - 1) ** 2
+        total = best[k] + cost[k + 1 : stop] + BALANCE * ((spot[k + 1 : stop] - spot[k]) / ideal - 1) ** 2
         better = total < best[k + 1 : stop]
         best[k + 1 : stop][better] = total[better]
         back[k + 1 : stop][better] = k
-    cuts, at = [], len(places) - 1
+    cuts, at = [], len(spot) - 1
     while at > 0:
         at = int(back[at])
         cuts.append(at)
-    cuts.reverse()
-    ends = [*(places[k] for k in cuts[1:]), n]
-    return [(starts[k] if k else 0, places[k], end) for k, end in zip(cuts, ends)]
+    return cuts[::-1]
 
 
 def paragraphs(files: DataFrame, id_col: str = "file_id", text_col: str = "markdown") -> DataFrame:
