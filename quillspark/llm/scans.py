@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,11 +75,13 @@ _STRANGE = re.compile("[^\\w\\s'’‘\\-‐‑­¬./:,&%°״\"׳–—]")
 _EDGE = " \t.,;:!?()[]{}«»“”\"„‘’'…–—-‐‑¬\xad*·•|/\\>‹›،؛؟"
 
 
+_BESIDE = re.compile("[^\\w!|@†(+$'ν]|_")
+
+
 def skeleton(word: str) -> str:
     """What words share that scanners take for one another: confusable glyphs and groups in one form, symbols left out."""
-    form = "".join(c for c in word.lower() if c.isalnum() or c in "!|@†(+$'ν")
+    form = _BESIDE.sub("", word.lower()).translate(_CLASS)
     # glyph groups count both as read and as grouped, so all end in the shortest writing
-    form = form.translate(_CLASS)
     for _ in range(2):
         for a, b in _GROUPED:
             form = form.replace(a, b)
@@ -210,9 +213,11 @@ def count_forms(files: DataFrame, text_col: str = "markdown") -> DataFrame:
 
 def learn(files: DataFrame, text_col: str = "markdown") -> dict[str, int]:
     """Counts of the forms and pairs that make up at least ``LEAST_SHARE`` of all."""
-    counts = count_forms(files, text_col)
+    counts = count_forms(files, text_col).persist(StorageLevel.DISK_ONLY)  # read twice; a lost part is counted again
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r["form"]: r["n"] for r in counts.where(F.col("n") >= max(LEAST_COUNT, int(total * LEAST_SHARE))).collect()}
+    found = {r["form"]: r["n"] for r in counts.where(F.col("n") >= max(LEAST_COUNT, int(total * LEAST_SHARE))).collect()}
+    counts.unpersist()
+    return found
 
 
 _TERMINAL = re.compile("[.;:,!?…。；：，！？،؛؟][\"'”’»)\\]]*\\s*$")
@@ -288,7 +293,6 @@ def furniture(lines: list[str], width: int, lexicon: Lexicon) -> set[int]:
     """Places of the lines that belong to the page: numbers, stamps, running headers and footers."""
     at = [k for k, x in enumerate(lines) if x.strip()]
     sure = {k for k in at if is_page_number(lines[k]) or is_marked_header(lines[k]) or _STAMP.search(lines[k]) and len(lines[k].strip()) < 70 and len(re.findall(r"[^\W\d_]+", lines[k])) <= 4}
-    keys = Counter(header_key(lines[k]) for k in at)
 
     def title(k: int) -> bool:
         text = lines[k].strip()
@@ -297,14 +301,16 @@ def furniture(lines: list[str], width: int, lexicon: Lexicon) -> set[int]:
     def joins(a: int, b: int | None) -> bool:
         return b is not None and (core(lines[a].split()[-1]) + " " + core(lines[b].split()[0])).lower() in lexicon.pairs
 
+    titles = {k: header_key(lines[k]) for k in at if title(k)}
+    keys = Counter(titles.values())
     out = set(sure)
     place = {k: i for i, k in enumerate(at)}
     for k in at:
-        if k not in out and title(k) and keys[header_key(lines[k])] >= 2 and len(lines[k].strip()) > 5:
+        if k not in out and k in titles and keys[titles[k]] >= 2 and len(lines[k].strip()) > 5:
             out.add(k)
     for _ in range(2):
         for k in at:
-            if k in out or not title(k):
+            if k in out or k not in titles:
                 continue
             i = place[k]
             before, after = at[i - 1] if i else None, at[i + 1] if i + 1 < len(at) else None
@@ -325,7 +331,7 @@ def furniture(lines: list[str], width: int, lexicon: Lexicon) -> set[int]:
                 out.add(k)
             elif i == 0 and sure and alone_after and after is not None and len(text) < 0.85 * width:
                 out.add(k)
-            elif capital and keys[header_key(text)] >= 2:
+            elif capital and keys[titles[k]] >= 2:
                 out.add(k)
     return out
 
