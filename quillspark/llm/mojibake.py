@@ -56,7 +56,8 @@ PAIRS = (
     ("cp1252", "cp862"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1252", "cp1250"),
     ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("cp1251", "cp866"), ("koi8-r", "cp1251"), ("cp866", "cp1251"),
     ("mac_roman", "cp1252"), ("mac_roman", "cp1251"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1250", "cp1252"),
-    ("cp1255", "cp1252"), ("cp1256", "cp1252"), ("cp862", "cp1255"), ("cp1255", "cp862"), ("cp1251", "cp1255"), ("cp1251", "cp1256"),
+    ("cp1255", "cp1252"), ("cp1256", "cp1252"), ("cp862", "cp1255"), ("cp1255", "cp862"), ("cp1253", "cp1252"),
+    ("cp1251", "cp1255"), ("cp1251", "cp1256"), ("cp1255", "cp1251"), ("cp1256", "cp1251"), ("cp1252", "cp1253"), ("cp1252", "big5"),
     ("utf-8", "one byte"),
 )
 
@@ -284,7 +285,7 @@ class Model:
         """Best gain of a state over the clean one by pair of characters, a table for each group of states: pairs that
         read letters as letters of another alphabet would loosen the bound of all others."""
         if self.gains is None and self.size <= DENSE:
-            letters = {"cp1255": 1, "cp1251": 2, "koi8-r": 2, "cp866": 2}
+            letters = {"cp1253": 1, "cp1255": 1, "cp1256": 1, "cp1251": 2, "koi8-r": 2, "cp866": 2}
             group = [letters.get(wrong, 0) if true != "utf-8" else 0 for wrong, true in PAIRS]
             self.gains = []
             for g in sorted(set(group)):

@@ -4,6 +4,7 @@ import base64
 import datetime as dt
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -193,6 +194,19 @@ def test_round_trip(pair):
         assert mojibake.restore(mojibake.misread(line, *pair), *pair) == line
 
 
+def model_of(lines):
+    pairs = Counter(ab for line in lines for ab in zip("\n" + line, line))
+    return mojibake.Model([((ord(a) << 21) | ord(b), 50 * n) for (a, b), n in sorted(pairs.items())])
+
+
+GREEK, HAN = "Η αίτηση υποβάλλεται στην αρμόδια υπηρεσία πριν από το τέλος του μήνα.", "機關應於收到申請後十日內作出書面決定並通知申請人。"
+
+
+@pytest.mark.parametrize("line, pair", [(CLEAN[0], ("cp1253", "cp1252")), (CLEAN[4], ("cp1255", "cp1251")), (CLEAN[4], ("cp1256", "cp1251")), (GREEK, ("cp1252", "cp1253")), (HAN, ("cp1252", "big5"))])
+def test_pairs_of_own_state(line, pair):
+    assert model_of([*CLEAN, GREEK, HAN]).repair_text(mojibake.misread(line, *pair) + "\n" + CLEAN[5]) == {0: line}
+
+
 # ---- scans -----------------------------------------------------------------------------------------------------------
 
 
