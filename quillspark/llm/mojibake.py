@@ -40,8 +40,6 @@ AGAIN = -2.5
 MARGIN = 2.0
 #: A pair is taken to have touched a text if its restored spans gain this much together.
 STRONG = 12.0
-#: So many pairs at most compete for a line, those of the greatest gains.
-MOST_STATES = 5
 LOSS = "�"
 #: Encodings of two bytes a character, whose spans must begin at a character.
 WIDE = ("gbk", "big5")
@@ -377,8 +375,6 @@ class Model:
         states = [0, *(int(s) for s in range(1, emit.shape[1]) if gain[s] > (-AGAIN if s in known else -ENTER))]
         if len(states) == 1:
             return [0] * len(line)
-        if len(states) > MOST_STATES + 1:  # the likeliest explanations of the line
-            states = [0, *sorted(sorted(states[1:], key=lambda s: -gain[s])[:MOST_STATES])]
         emit = emit[:, states].astype(np.float64)
         # where all states emit alike, staying is best: only the other characters are steps
         steps = np.flatnonzero((emit != emit[:, :1]).any(axis=1))

@@ -207,6 +207,12 @@ def test_pairs_of_own_state(line, pair):
     assert model_of([*CLEAN, GREEK, HAN]).repair_text(mojibake.misread(line, *pair) + "\n" + CLEAN[5]) == {0: line}
 
 
+def test_spans_of_many_pairs_in_a_line():
+    pairs = [(CLEAN[0], ("cp1252", "utf-8")), (CLEAN[1], ("cp1250", "utf-8")), (CLEAN[4][:22], ("cp1252", "cp1251")), (CLEAN[3][:20], ("cp1252", "cp1255"))]
+    line = " The employer shall keep the file and return the report. ".join(mojibake.misread(text, *pair) for text, pair in pairs)
+    assert model_of([*CLEAN, GREEK, HAN]).repair_text(line) == {0: " The employer shall keep the file and return the report. ".join(text for text, _ in pairs)}
+
+
 # ---- scans -----------------------------------------------------------------------------------------------------------
 
 
