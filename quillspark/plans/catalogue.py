@@ -477,6 +477,12 @@ def data_uris(spark, d):  # T27 T21
     return f.select("file_id", F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.col("path").cast("binary"))).alias("uri"), retrieval.attached(F.col("path"), F.left(F.coalesce("markdown", F.lit("")), F.lit(50))).alias("block"))
 
 
+@query()
+def data_uris_whole(spark, d):  # T27 T21: the whole text, which the SQL of data_uris cuts
+    f = table(spark, d, "extracted_file").where("path IS NOT NULL")
+    return f.select("file_id", F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.col("path").cast("binary"))).alias("uri"), retrieval.attached(F.col("path"), F.coalesce("markdown", F.lit(""))).alias("block"))
+
+
 # ---- languages and models --------------------------------------------------------------------------------------------
 
 _NAMED = "CASE doc_id % 4 WHEN 0 THEN 'Italian' WHEN 1 THEN ' HEBREW ' WHEN 2 THEN 'german' ELSE 'Arabic' END"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark import models
 from quillspark.operators import crawl, ledger, ocr, outline, records, retrieval, timestamps, vectors
+from quillspark.plans.catalogue import QUERIES
 from quillspark.schemas import FETCH
 from quillspark.sources import files
 
@@ -147,3 +148,12 @@ def test_missing_zone_is_estimated(spark):
     places = spark.createDataFrame([("x", None, True), ("a", "America/New_York", False), ("b", "Europe/Rome", True)], "place string, zone_name string, day_first boolean")
     found, zones = timestamps.normalise_timestamps(df, places, "i", "t", "place", "at")
     assert zones.first()["zone"] == "America/New_York" and found.count() == 20
+
+
+LONG = 'Eine "lange" Zeile \\ mit {Klammern},\n\u2028\u0085 ```und``` שורה שנייה; ' * 300 + "end"
+
+
+def test_whole_attachments(spark, tmp_path):
+    spark.createDataFrame([(1, "a.pdf", LONG), (2, "b.pdf", None), (3, None, LONG)], "file_id bigint, path string, markdown string").write.parquet(str(tmp_path / "extracted_file.parquet"))
+    got = {r["file_id"]: (r["uri"], r["block"]) for r in QUERIES["data_uris_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("data:application/pdf;base64,YS5wZGY=", "--- Content of a.pdf ---\n" + LONG), 2: ("data:application/pdf;base64,Yi5wZGY=", "--- Content of b.pdf ---\n")}
