@@ -495,6 +495,13 @@ def language_lookup(spark, d):  # P22 J3 T24 P18 D7
     return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), F.left("text", F.lit(30))).alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"))
 
 
+@query()
+def language_lookup_whole(spark, d):  # P22 J3 T24 P18 D7: the whole text, which the SQL of language_lookup cuts
+    docs = table(spark, d, "documents").select("doc_id", "text", F.expr(_NAMED).alias("name"))
+    coded = records.lookup_code(docs, table(spark, d, "language_dim"), "name")
+    return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), "text").alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"))
+
+
 @query()
 def translate_retry(spark, d):  # I6 I7 I9 P21 A6 T23
     """A stand-in model that refuses long pieces; its sections are put together again with failures marked."""

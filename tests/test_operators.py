@@ -157,3 +157,10 @@ def test_whole_attachments(spark, tmp_path):
     spark.createDataFrame([(1, "a.pdf", LONG), (2, "b.pdf", None), (3, None, LONG)], "file_id bigint, path string, markdown string").write.parquet(str(tmp_path / "extracted_file.parquet"))
     got = {r["file_id"]: (r["uri"], r["block"]) for r in QUERIES["data_uris_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: ("data:application/pdf;base64,YS5wZGY=", "--- Content of a.pdf ---\n" + LONG), 2: ("data:application/pdf;base64,Yi5wZGY=", "--- Content of b.pdf ---\n")}
+
+
+def test_whole_translation_inputs(spark, tmp_path):
+    spark.createDataFrame([(4, LONG), (5, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("italian", "it"), ("hebrew", "he")], "name string, code string").write.parquet(str(tmp_path / "language_dim.parquet"))
+    got = {tuple(r) for r in QUERIES["language_lookup_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(4, "it", "<2it> " + LONG, False), (5, "he", None, True)}
