@@ -226,6 +226,14 @@ def chat_messages(spark, d):  # U4 P15 T22 L3 D12
     return retrieval.messages(turns, asked, "Answer from the documents.")
 
 
+@query()
+def chat_messages_whole(spark, d):  # U4 P15 T22 L3 D12: the operator's own limit, in place of the 60 characters of the SQL of chat_messages
+    turns = table(spark, d, "chat_turn")
+    asked = turns.groupBy("conv_id").agg(F.min(F.coalesce("content", F.lit(""))).alias("a"))
+    asked = asked.select("conv_id", retrieval.user_message(F.lit("What follows?"), t.truncate(F.col("a"), retrieval.MOST_CONTEXT, retrieval.CUT_MARK)).alias("content"))
+    return retrieval.messages(turns, asked, "Answer from the documents.")
+
+
 @query("SELECT conv_id, turn, coalesce(json_extract_string('{\"detail\": ' || to_json(content) || '}', '$.detail'), '') AS detail, 'Summarize this in 3-5 bullet points:' || chr(10) || chr(10) || content AS prompt FROM chat_turn")
 def error_and_summary(spark, d):  # N4 T29
     turns = table(spark, d, "chat_turn")

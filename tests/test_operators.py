@@ -164,3 +164,11 @@ def test_whole_translation_inputs(spark, tmp_path):
     spark.createDataFrame([("italian", "it"), ("hebrew", "he")], "name string, code string").write.parquet(str(tmp_path / "language_dim.parquet"))
     got = {tuple(r) for r in QUERIES["language_lookup_whole"](spark, str(tmp_path)).collect()}
     assert got == {(4, "it", "<2it> " + LONG, False), (5, "he", None, True)}
+
+
+def test_whole_chat_context(spark, tmp_path):
+    texts = {1: "x" * 61, 2: "y" * 6000, 3: LONG}
+    spark.createDataFrame([(k, 0, "user", text) for k, text in texts.items()], "conv_id bigint, turn bigint, role string, content string").write.parquet(str(tmp_path / "chat_turn.parquet"))
+    got = {r["conv_id"]: r["content"] for r in QUERIES["chat_messages_whole"](spark, str(tmp_path)).where("part = 2").collect()}
+    shown = texts | {3: LONG[:6000] + "\n[...truncated, file is longer...]"}
+    assert got == {k: f"The user attached the following document(s):\n\n{text}\n\nUser question: What follows?" for k, text in shown.items()}
