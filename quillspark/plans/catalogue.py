@@ -379,8 +379,16 @@ _DECK = """CASE WHEN turn % 5 = 4 THEN content WHEN turn % 5 = 3 THEN concat('{"
     WITH r AS (SELECT conv_id, turn, content, left({_strip("coalesce(content, '')")}, 40) AS c FROM chat_turn)
     SELECT conv_id, turn, CASE WHEN turn % 5 >= 3 THEN NULL WHEN turn % 2 = 0 THEN 'Deck' ELSE 'Untitled Presentation' END AS title, CASE WHEN turn % 5 >= 3 THEN NULL ELSE 'Untitled: a' || CASE WHEN {_strip('c')} <> '' THEN ';' || {_strip('c')} ELSE '' END || chr(10) || 'H' || turn || ': ' END AS slides FROM r""")
 def outline_normalize(spark, d):  # N1 T13 D15
-    turns = table(spark, d, "chat_turn")
-    item = F.regexp_extract(F.to_json(F.struct(F.left(t.strip(F.coalesce("content", F.lit(""))), F.lit(40)).alias("x"))), r'^\{"x":(.*)\}$', 1)
+    return _outlines(table(spark, d, "chat_turn"), F.left(t.strip(F.coalesce("content", F.lit(""))), F.lit(40)))
+
+
+@query()
+def outline_normalize_whole(spark, d):  # N1 T13 D15: the whole content as a bullet, which the SQL of outline_normalize cuts
+    return _outlines(table(spark, d, "chat_turn"), F.coalesce("content", F.lit("")))
+
+
+def _outlines(turns, bullet):
+    item = F.regexp_extract(F.to_json(F.struct(bullet.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     good = F.concat(
         F.lit('```json\n{"title": '), F.when(F.col("turn") % 2 == 0, '" Deck "').otherwise('""'), F.lit(', "slides": [{"heading": " ", "bullets": [" a ", "", '), item,
         F.lit(']}, {"heading": "", "bullets": []}, 3, {"heading": "H'), F.col("turn").cast("string"), F.lit('"}]}\n```'),

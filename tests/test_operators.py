@@ -172,3 +172,9 @@ def test_whole_chat_context(spark, tmp_path):
     got = {r["conv_id"]: r["content"] for r in QUERIES["chat_messages_whole"](spark, str(tmp_path)).where("part = 2").collect()}
     shown = texts | {3: LONG[:6000] + "\n[...truncated, file is longer...]"}
     assert got == {k: f"The user attached the following document(s):\n\n{text}\n\nUser question: What follows?" for k, text in shown.items()}
+
+
+def test_whole_outlines(spark, tmp_path):
+    spark.createDataFrame([(1, 0, LONG), (1, 1, None), (1, 3, LONG), (1, 4, LONG)], "conv_id bigint, turn bigint, content string").write.parquet(str(tmp_path / "chat_turn.parquet"))
+    got = {r["turn"]: (r["title"], r["slides"]) for r in QUERIES["outline_normalize_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: ("Deck", f"Untitled: a;{LONG}\nH0: "), 1: ("Untitled Presentation", "Untitled: a\nH1: "), 3: (None, None), 4: (None, None)}
