@@ -302,7 +302,10 @@ def furniture(lines: list[str], width: int, lexicon: Lexicon) -> set[int]:
         return b is not None and (core(lines[a].split()[-1]) + " " + core(lines[b].split()[0])).lower() in lexicon.pairs
 
     titles = {k: header_key(lines[k]) for k in at if title(k)}
+    # noise can make a copy of a header look like no title, yet it counts
     keys = Counter(titles.values())
+    if titles:
+        keys.update(header_key(lines[k]) for k in at if k not in titles)
     out = set(sure)
     place = {k: i for i, k in enumerate(at)}
     for k in at:

@@ -228,6 +228,12 @@ def test_scan_noise(spark):
     assert scans.noise_found(df.where("false")).count() == 0
 
 
+def test_noisy_copy_of_a_header_counts():
+    body = ["the employer should confirm the registered", "company without further notice under the"]
+    lines = [*body, "Annual Report 2019", *body, "Annual Report 2020.", *body, "annual report 2021", *body]
+    assert 2 in scans.furniture(lines, 45, scans.Lexicon({}))
+
+
 def test_confusions():
     assert scans.explained("insu1ation", "insulation") == [4] and scans.explained("modem", "modern") is not None and scans.explained("abc", "xyz") is None
     assert scans.skeleton("arrenclatario") == scans.skeleton("arrendatario")
