@@ -138,7 +138,7 @@ def test_currency_orders_undated(spark):
 def test_allocation_and_mixture(spark):
     goals = mixing.allocate({"a": 100, "b": 900}, [("a", 0.5, 3), ("b", 0.3, 1), ("c", 0.2, 5)])
     assert goals["a"] == 300 and goals["c"] == 0 and abs(sum(goals.values()) - 1000) < 1e-6
-    docs = spark.createDataFrame([(k, "one two three " * (1 + k % 5), " A-x " if k % 10 == 0 else "b", "q") for k in range(300)] + [(900, None, "b", "q"), (901, "no target", "z", "q"), (902, "none", None, "q")], "doc_id bigint, text string, source string, n_tokens string")
+    docs = spark.createDataFrame([(k, "one two three " * (1 + k % 5), " A-x " if k % 10 == 0 else "b", "q") for k in range(300)] + [(900, None, "b", "q"), (None, "no id", "b", "q"), (901, "no target", "z", "q"), (902, "none", None, "q")], "doc_id bigint, text string, source string, n_tokens string")
     targets = spark.createDataFrame([("a_x", 0.5, 3), ("b", 0.5, 1), ("empty", 0.0, 1)], "source string, target_share double, max_repeat int")
     mixed = mixing.mixture(docs, targets)
     rows, again = mixed.collect(), mixing.mixture(docs, targets).collect()
@@ -151,6 +151,35 @@ def test_allocation_and_mixture(spark):
     assert mixing.mixture(docs.where("false"), targets).count() == 0
 
 
+def test_inclusion_frequencies(spark):
+    """500 draws of one population (a source each, with ids and so random numbers of its own) include as the design says."""
+    words = [1, 1, 2, 3, 5, 8, 13, 21, 34, 200]
+    docs = [(k * 100 + i, " one" * n, f"s{k}") for k in range(500) for i, n in enumerate(words)]
+    small = sum(words)
+    docs += [(10**6 + i, " one" * 100, "big") for i in range(5 * small)]
+    targets = [(f"s{k}", 0.9 / 500, 3) for k in range(500)] + [("big", 0.1, 1)]
+    mixed = mixing.mixture(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame(targets, "source string, target_share double, max_repeat int"))
+    rows = [r for r in mixed.collect() if r["source"] != "big"]
+    goal = 0.9 * (500 * small + 500 * small) / 500
+    whole = int(goal // small)
+    rest = goal - whole * small
+    n = dict(enumerate(words))
+    certain = set()
+    while True:  # the design, by brute force: certain ones out, the excess spread again
+        c = (rest - sum(n[i] for i in certain)) / sum(m * m for i, m in n.items() if i not in certain)
+        more = {i for i, m in n.items() if i not in certain and c * m > 1}
+        if not more:
+            break
+        certain |= more
+    got = Counter(r["doc_id"] % 100 for r in rows if r["copies"] > whole)
+    assert certain and all(got[i] == 500 for i in certain)
+    for i, m in n.items():
+        if i not in certain:
+            p = c * m
+            assert abs(got[i] / 500 - p) < 0.05 + 4 * (p * (1 - p) / 500) ** 0.5, (i, got[i] / 500, p)
+    assert got[8] > 4 * got[3]  # far from equal probabilities
+
+
 # ---- wrong decoding --------------------------------------------------------------------------------------------------
 
 CLEAN = [
