@@ -2,8 +2,9 @@
 
 A line shows discrete statistics: an enumerator, columns, final punctuation, how it continues, its length, its
 share of letters, and how familiar its words and neighbouring words are to the whole corpus. Each state gives
-each statistic a probability; neighbouring lines tend to share a state; Viterbi labels the lines, and the shares
-of the labels give the shape. What the corpus is familiar with is counted over all documents: the word pairs
+each statistic a probability; neighbouring lines tend to share a state. The probabilities start from stated ones and are
+fitted to all lines of the corpus (Baum and Welch's method, held towards the start). Viterbi labels the lines, and the
+shares of the labels give the shape. What the corpus is familiar with is counted over all documents: the word pairs
 that make up a least share of all pairs, whose number that share bounds.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.marks import drop_invisible, is_blank
-from quillspark.util import spread
+from quillspark.util import cut, spread
 
 #: A word or pair is familiar at this share of all; at most 1 / share of them can be, which bounds the broadcast.
 LEAST_SHARE, LEAST_COUNT = 2e-6, 5
+#: Common words are a small fixed list, and go into the plan.
+MOST_COMMON = 20_000
 STATES = ("prose", "list", "table", "junk")
-_STAY = 0.88
 
 _WORD = re.compile("[一-鿿㐀-䶿]|[^\\W\\d_]+")
 # What marks an item of an enumeration.
@@ -34,13 +37,22 @@ _ITEM = re.compile(
 )
 _CELLS = re.compile(r"\||│|┃|\t|;(?=\S)|(?<=\S);$|\"\s*,\s*\"|</t[dh]>|(?<=\S)(?: {3,}|\xa0{2,})(?=\S)|(?<=\S),(?=[^\s\d])|(?<=[^\d\s]),(?=\S)|(?<=\d),(?=\d{1,2}[/.]\d)|(?<=\S)\s*(?:=>|::|~|¦)\s*(?=\S)")
 _RULE = re.compile(r"\s*[|+:\-=─━┼╪│┌┐└┘├┤┬┴═ ]{3,}\s*$")
-_LETTER = re.compile("[^\\W\\d_]|[\u0591-\u05c7\u064b-\u0652]")
-_DIGIT = re.compile(r"\d")
 _INSIDE = re.compile("[.,;!?،؛。，；](?:\\s|$)")
 _HTML_TABLE = re.compile(r"\s*</?(?:table|thead|tbody|tr)\b", re.I)
-_END = re.compile("[.!?…。！？؟۔:;；：][\"'”’»)\\]]*\\s*$")
+# What ends a sentence, and what may close after it.
+_STOPS, _CLOSERS = frozenset(".!?…。！？؟۔:;；："), "\"'”’»)]"
+_CELL_MARKS = ("|", "│", "┃", "\t", '"', "<", "   ", "\xa0\xa0", "=>", "::", "~", "¦")
+_TIGHT = re.compile(r"[,;]\S|;$")
+_RULED = re.compile("[|+─━┼═]|---")
+_ASIDE = re.compile(r"<[^>]{1,40}>|https?://\S+|\(§[^)]{1,40}\)")
+_TOKEN, _HAN = re.compile("[一-鿿㐀-䶿]|[^\\W\\d_]+|[.!?;。！？；]"), re.compile("[一-鿿㐀-䶿]")
+_ENDERS, _SENTENCE = frozenset(".!?;。！？；"), re.compile("[.!?;。！？；]")
+_BREAK = re.compile("[.,;:!?،؛。，；：()«»“”\"|]")
+_LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _NUMBER_CELL = re.compile(r"(?<![^\s|│;,\"\t>])[-+]?\d[\d.,/%:-]*(?![^\s|│;,\"\t<%])")
-_JUNKY = re.compile(r"(\S)\1{9,}|[A-Za-z0-9+/=_%-]{41,}|(?:%[0-9A-F]{2}){4,}|(?:\b[0-9a-f]{2}\s+){8,}|\b(?:endobj|endstream|xref)\b|\b(?:[0-9a-f]{8})\b \d")
+# Endless repetition, data and code.
+_REPEATED, _SOLID, _ESCAPED = re.compile(r"(\S)\1{9,}"), re.compile("[A-Za-z0-9+/=_%-]{41,}"), re.compile("(?:%[0-9A-F]{2}){4,}")
+_HEX_PAIRS, _HEX_DUMP, _FILE_PARTS = re.compile(r"(?:\b[0-9a-f]{2}\s+){8,}"), re.compile(r"\b[0-9a-f]{8}\b \d"), re.compile(r"\b(?:endobj|endstream|xref)\b")
 
 
 def words_of(text: str) -> list[str]:
@@ -74,146 +86,327 @@ def familiar_pairs(docs: DataFrame, text_col: str = "text") -> frozenset[str]:
     return found
 
 
-def _log(**rows: tuple[float, ...]) -> np.ndarray:
-    return np.log(np.array([rows[s] for s in STATES]))
-
-
-# Probability of each value of a statistic in each state.
-_P_ITEM = _log(prose=(0.985, 0.015), list=(0.3, 0.7), table=(0.97, 0.03), junk=(0.95, 0.05))  # no, yes
-_P_CELLS = _log(prose=(0.965, 0.03, 0.005), list=(0.94, 0.05, 0.01), table=(0.03, 0.2, 0.77), junk=(0.75, 0.15, 0.1))  # 0, 1, more
-_P_END = _log(prose=(0.25, 0.75), list=(0.93, 0.07), table=(0.985, 0.015), junk=(0.85, 0.15))  # no, yes
-_P_RUN = _log(prose=(0.3, 0.7), list=(0.9, 0.1), table=(0.95, 0.05), junk=(0.85, 0.15))  # continues in the next line or follows on the last
-_P_LONG = _log(prose=(0.2, 0.3, 0.5), list=(0.62, 0.35, 0.03), table=(0.6, 0.37, 0.03), junk=(0.35, 0.35, 0.3))  # < 50, < 125, more
-_P_SIGN = _log(prose=(0.93, 0.065, 0.005), list=(0.85, 0.13, 0.02), table=(0.08, 0.47, 0.45), junk=(0.45, 0.2, 0.35))  # other than letters
-_P_KNOWN = _log(prose=(0.01, 0.12, 0.87), list=(0.04, 0.26, 0.7), table=(0.2, 0.4, 0.4), junk=(0.9, 0.085, 0.015))  # familiarity
-_P_ODD = _log(prose=(0.998, 0.002), list=(0.99, 0.01), table=(0.98, 0.02), junk=(0.3, 0.7))  # repeats itself, or matter that isn't language
-_MOVE = np.log(np.where(np.eye(4, dtype=bool), _STAY, (1 - _STAY) / 3))
+def _table(**rows: tuple[float, ...]) -> np.ndarray:
+    return np.array([rows[s] for s in STATES])
+
+
+# What each state is taken to show before the corpus is looked at (probability of each value of a statistic).
+PRIOR = {
+    "item": _table(prose=(0.985, 0.015), list=(0.3, 0.7), table=(0.97, 0.03), junk=(0.95, 0.05)),  # no, yes
+    "cells": _table(prose=(0.965, 0.03, 0.005), list=(0.94, 0.05, 0.01), table=(0.03, 0.2, 0.77), junk=(0.75, 0.15, 0.1)),  # 0, 1, more
+    "run": _table(prose=(0.3, 0.7), list=(0.9, 0.1), table=(0.95, 0.05), junk=(0.85, 0.15)),  # goes on in the next line or goes on the last
+    "end": _table(prose=(0.25, 0.75), list=(0.93, 0.07), table=(0.985, 0.015), junk=(0.85, 0.15)),  # no, yes
+    "long": _table(prose=(0.2, 0.3, 0.5), list=(0.62, 0.35, 0.03), table=(0.6, 0.37, 0.03), junk=(0.35, 0.35, 0.3)),  # < 50, < 125, more
+    "sign": _table(prose=(0.93, 0.065, 0.005), list=(0.85, 0.13, 0.02), table=(0.08, 0.47, 0.45), junk=(0.45, 0.2, 0.35)),  # other than letters
+    "known": _table(prose=(0.01, 0.12, 0.87), list=(0.04, 0.26, 0.7), table=(0.2, 0.4, 0.4), junk=(0.9, 0.085, 0.015)),  # familiarity
+    "odd": _table(prose=(0.998, 0.002), list=(0.99, 0.01), table=(0.98, 0.02), junk=(0.3, 0.7)),  # repeats itself, or matter that isn't language
+}
+# The first line's states, how likely a state goes on, and what many words without any sentence say.
+FIRST, _STAY, _UNBROKEN = np.array([0.4, 0.2, 0.2, 0.2]), 0.88, np.array([0.02, 0.02, 0.02, 0.94])
+#: How much what the states are taken to show weighs in fitting, as a multiple of what the corpus shows; rounds of fitting.
+PRIOR_WEIGHT, ROUNDS = 3.0, 0
+
+NAMES = tuple(PRIOR)
+_SIZES = [PRIOR[name].shape[1] for name in NAMES]
+# a line's code has a digit per statistic (one value more: not looked at) and one for words without sentences
+_BASES = [n + 1 for n in _SIZES]
+_STEPS = [int(np.prod(_BASES[k + 1 :], initial=1)) * 2 for k in range(len(_BASES))]
+CODES = int(np.prod(_BASES)) * 2
+_DIGITS = [(np.arange(CODES) // step) % base for step, base in zip(_STEPS, _BASES)]
+
+
+class Shapes:
+    """Probabilities of the hidden Markov model: ``first``, ``move`` and a table (state, value) per statistic."""
+
+    def __init__(self, first: np.ndarray = FIRST, move: np.ndarray | None = None, tables: dict[str, np.ndarray] | None = None) -> None:
+        self.first, self.tables = first, tables or PRIOR
+        self.move = np.where(np.eye(4, dtype=bool), _STAY, (1 - _STAY) / 3) if move is None else move
+        self.emit = np.zeros((CODES, 4))
+        for name, digit, n in zip(NAMES, _DIGITS, _SIZES):
+            self.emit += np.vstack([np.log(self.tables[name]).T, np.zeros((1, 4))])[np.minimum(digit, n)]
+        self.emit[1::2] += np.log(_UNBROKEN)
+
+    def refit(self, seen: np.ndarray) -> Shapes:
+        """The model that expected counts (see :meth:`expect`) and the prior, weighted by ``PRIOR_WEIGHT``, make most likely."""
+
+        def mix(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+            total = counts.sum(axis=-1, keepdims=True)
+            share = np.divide(counts, total, out=prior.copy(), where=total > 0)
+            return np.round(np.maximum((share + PRIOR_WEIGHT * prior) / (1 + PRIOR_WEIGHT), 1e-4), 9)
+
+        tables, at = {}, 20
+        for name, n in zip(NAMES, _SIZES):
+            tables[name] = mix(seen[at : at + 4 * n].reshape(4, n), PRIOR[name])
+            at += 4 * n
+        prior = Shapes()
+        return Shapes(mix(seen[:4], prior.first), mix(seen[4:20].reshape(4, 4), prior.move), tables)
+
+    @staticmethod
+    def _columns(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first line of each text, texts from the longest, how many have a t-th line)."""
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        order = np.argsort(-lengths, kind="stable")
+        return starts, order, np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
+
+    def label(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Most likely state of each line; ``codes`` of all texts one after another, ``lengths`` their numbers of lines (none 0)."""
+        starts, order, active = self._columns(lengths)
+        emit, move = self.emit[codes], np.log(self.move)
+        came, labels = np.zeros((len(codes), 4), dtype=np.int8), np.zeros(len(codes), dtype=np.int8)
+        value = np.log(self.first) + emit[starts[order]]
+        best = value.argmax(axis=1)
+        for t, n in enumerate(active[1:].tolist(), 1):
+            through = value[:n, :, None] + move
+            at = starts[order[:n]] + t
+            came[at] = through.argmax(axis=1)
+            value = through.max(axis=1) + emit[at]
+            best[:n] = value.argmax(axis=1)
+        for t in range(len(active) - 1, -1, -1):
+            n = active[t]
+            at = starts[order[:n]] + t
+            labels[at] = best[:n]
+            best[:n] = came[at, best[:n]]
+        return labels
+
+    def expect(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Expected counts over texts: first states (4), moves (16), and (state, value) of each statistic. Forward and backward."""
+        starts, order, active = self._columns(lengths)
+        chance = self.emit[codes]
+        chance = np.exp(chance - chance.max(axis=1, keepdims=True))
+        ahead = np.empty((len(codes), 4))
+        at = starts[order]
+        ahead[at] = self.first * chance[at]
+        ahead[at] /= ahead[at].sum(axis=1, keepdims=True)
+        for t, n in enumerate(active[1:].tolist(), 1):
+            at = starts[order[:n]] + t
+            now = (ahead[at - 1] @ self.move) * chance[at]
+            ahead[at] = now / now.sum(axis=1, keepdims=True)
+        behind, moves, both = np.ones((len(order), 4)), np.zeros((4, 4)), np.empty((len(codes), 4))
+        for t in range(len(active) - 1, -1, -1):
+            n = active[t]
+            at = starts[order[:n]] + t
+            now = ahead[at] * behind[:n]
+            both[at] = now / now.sum(axis=1, keepdims=True)
+            if t:
+                on = chance[at] * behind[:n]
+                pair = ahead[at - 1][:, :, None] * self.move * on[:, None, :]
+                moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                back = on @ self.move.T
+                behind[:n] = back / back.sum(axis=1, keepdims=True)
+        by_code = np.stack([np.bincount(codes, weights=both[:, s], minlength=CODES) for s in range(4)])
+        values = [np.stack([np.bincount(digit, weights=by_code[s], minlength=n + 1)[:n] for s in range(4)]).ravel() for digit, n in zip(_DIGITS, _SIZES)]
+        return np.concatenate([both[starts].sum(axis=0), moves.ravel(), *values])
 
 
 def _familiarity(words: list[str], known: frozenset[str]) -> float:
     if len(words) < 2:
         return float(words[0] + "\n" in known) if words else 0.0
-    pairs = sum(f"{a} {b}" in known for a, b in zip(words, words[1:])) / (len(words) - 1)
+    pairs = sum(map(known.__contains__, map(" ".join, zip(words, words[1:])))) / (len(words) - 1)
     if len(words) >= 8:
         return pairs
     single = sum(w + "\n" in known for w in words) / len(words)
     return max(pairs, 0.8 * single)
 
 
-def line_scores(lines: list[str], known: frozenset[str]) -> np.ndarray:
-    """Log probability of what each line (None of them blank, but for "" between paragraphs) shows, by state."""
+def ends(line: str) -> bool:
+    """Whether the line ends as a sentence does, closing quotes and brackets aside."""
+    tail = line.rstrip().rstrip(_CLOSERS)
+    return bool(tail) and tail[-1] in _STOPS
+
+
+def cells(line: str) -> int:
+    """How many marks between columns the line has. The pattern runs only where one of its marks is."""
+    if any(map(line.__contains__, _CELL_MARKS)) or ("," in line or ";" in line) and _TIGHT.search(line):
+        return len(_CELLS.findall(line))
+    return 0
+
+
+def is_junky(body: str, tokens: list[str], digits: int) -> bool:
+    """Endless repetition, data or code. Each pattern runs only where the tokens allow it to match."""
+    sizes = list(map(len, tokens))
+    longest = max(sizes, default=0)
+    return bool(
+        longest >= 10 and any(n >= 10 and len(set(t)) <= n - 9 for t, n in zip(tokens, sizes)) and _REPEATED.search(body) or longest >= 41 and _SOLID.search(body)
+        or "%" in body and longest >= 12 and _ESCAPED.search(body) or len(sizes) >= 8 and sizes.count(2) >= 7 and _HEX_PAIRS.search(body) or digits and longest >= 8 and _HEX_DUMP.search(body)
+        or ("endobj" in body or "endstream" in body or "xref" in body) and _FILE_PARTS.search(body)
+    )
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """1 for letters and their marks, 2 for digits, 0 for all other code points."""
+    kinds = np.zeros(0x110000, dtype=np.uint8)
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isdecimal():
+            kinds[code] = 2
+        elif c.isalnum():
+            kinds[code] = 1
+    kinds[0x591:0x5C8] = kinds[0x64B:0x653] = 1
+    return kinds
+
+
+def letters_and_digits(bodies: list[str]) -> tuple[list[int], list[int]]:
+    """How many letters and how many digits each line has."""
+    joined = "\n".join(bodies) + "\n"
+    kinds = _kinds()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    starts = np.cumsum([0, *(len(x) + 1 for x in bodies[:-1])])
+    return np.add.reduceat(kinds == 1, starts, dtype=np.int64).tolist(), np.add.reduceat(kinds == 2, starts, dtype=np.int64).tolist()
+
+
+def line_codes(lines: list[str], known: frozenset[str]) -> list[int]:
+    """What each line shows, as a code of its statistics. Lines aren't blank, but for "" between paragraphs."""
     text = [line for line in lines if line]
-    bodies = [words_of(line) for line in text]
+    tokens_of = [_TOKEN.findall(line.lower()) for line in text]
+    bodies = [[t for t in tokens if t not in _ENDERS] for tokens in tokens_of]
     width = max(map(len, text))
-    sentences = [s for s in (re.sub(r"[\W\d_]+", " ", s).strip().lower() for line in text for s in re.split("[.!?;。！？；\n]", line)) if len(s) > 12]
+    sentences = [s for tokens in tokens_of for s in _SENTENCE.split(" ".join(tokens)) if len(s) > 12 and len(s.strip() if s.isascii() or not _HAN.search(s) else s.replace(" ", "")) > 12]
+    sentences = list(map(str.strip, sentences))
     everything = [w for words in bodies for w in words]
     looping = len(sentences) >= 4 and len(set(sentences)) <= 0.4 * len(sentences) or len(everything) >= 20 and len(set(everything)) <= 0.12 * len(everything) + 2
     running = sum(bool(_INSIDE.search(line)) for line in text) >= 0.25 * len(text)  # sentences, so lines may break them anywhere
+    ended = [ends(line) for line in text]
+    items = [bool(_ITEM.match(line)) for line in text]
     follows = [False] * len(text)
-    k = -1
-    for i, line in enumerate(lines):
-        if not line:
-            continue
-        k += 1
-        after = lines[i + 1] if i + 1 < len(lines) else ""
-        if after and 25 <= width <= 140 and not _ITEM.match(after):
-            first = after.split(None, 1)[0]
-            full = len(line) + 1 + len(first) > width and len(line) >= 0.6 * width
-            joined = running and bool(bodies[k] and bodies[k + 1] and f"{bodies[k][-1]} {bodies[k + 1][0]}" in known)
-            if (full or joined) and not _END.search(line):
-                follows[k] = True
-    out = np.zeros((len(text), 4))
+    if 25 <= width <= 140:
+        k = -1
+        for line, after in zip(lines, [*lines[1:], ""]):
+            if not line:
+                continue
+            k += 1
+            if after and not ended[k] and not items[k + 1]:
+                full = len(line) + 1 + len(after.split(None, 1)[0]) > width and len(line) >= 0.6 * width
+                follows[k] = full or running and bool(bodies[k] and bodies[k + 1] and f"{bodies[k][-1]} {bodies[k + 1][0]}" in known)
+    plain = [_ASIDE.sub("", line) if "<" in line or "://" in line or "(§" in line else line for line in text]
+    letters_of, digits_of = letters_and_digits(plain)
+    out = []
     for k, line in enumerate(text):
-        rule = bool(_RULE.match(line) and re.search("[|+─━┼═]|---", line))
-        cells = len(_CELLS.findall(line))
-        html = bool(_HTML_TABLE.match(line))
-        body = re.sub(r"<[^>]{1,40}>|https?://\S+|\(§[^)]{1,40}\)", "", line)
-        dense = re.sub(r"\s", "", body)
-        letters = len(_LETTER.findall(dense))
-        signs = 1 - letters / len(dense) if dense else 1.0
-        noise = len(dense) >= 8 and not rule and not html and letters + len(_DIGIT.findall(dense)) < 0.3 * len(dense)
-        numbers = len(_NUMBER_CELL.findall(body))
-        level = 2 if html or rule or cells >= 2 and (numbers or cells >= 3) else 1 if cells else 0
-        if level == 2 and not html and not rule and len(line) > 160 and numbers <= 1 and _END.search(line):
-            level = 1
+        rule = bool(_RULE.match(line) and _RULED.search(line))
+        n_cells = cells(line)
+        html = "<" in line and bool(_HTML_TABLE.match(line))
+        body, letters, digits = plain[k], letters_of[k], digits_of[k]
+        tokens = body.split()
+        dense = sum(map(len, tokens))
+        signs = 1 - letters / dense if dense else 1.0
+        noise = dense >= 8 and not rule and not html and letters + digits < 0.3 * dense
+        level = 2 if html or rule or n_cells >= 3 else 1 if n_cells else 0
+        if n_cells >= 2 and not html and not rule:
+            numbers = len(_NUMBER_CELL.findall(body))
+            level = 2 if numbers or n_cells >= 3 else 1
+            if level == 2 and len(line) > 160 and numbers <= 1 and ended[k]:
+                level = 1
         if noise:
             level = 0
-        score = out[k]
-        score += _P_ITEM[:, int(bool(_ITEM.match(line)) and not rule)]
-        score += _P_CELLS[:, level]
         wrapped = follows[k] or k > 0 and follows[k - 1]
-        score += _P_RUN[:, int(wrapped)]
-        score += _P_END[:, int(bool(_END.search(line)) or follows[k])] if not wrapped or _END.search(line) else 0
-        if not wrapped:
-            score += _P_LONG[:, 0 if len(line) < 50 else 1 if len(line) < 125 else 2]
-        score += _P_SIGN[:, 0 if signs < 0.22 else 1 if signs < 0.5 else 2]
         words = bodies[k] if not html else words_of(body)
+        familiar = 3
         if level < 2 and not (level and len(words) < 6):
-            known_share = _familiarity(words, known) if words else 0.0
-            score += _P_KNOWN[:, 0 if known_share < 0.22 else 1 if known_share < 0.45 else 2]
-        odd = noise or looping or bool(_JUNKY.search(body)) or not words and not rule and not html or len(words) >= 12 and len(set(words)) <= 0.25 * len(words)
-        score += _P_ODD[:, int(odd and (not html and not rule and level < 2 or looping and level == 0))]
-        if len(words) >= 25 and not re.search("[.,;:!?،؛。，；：()«»“”\"|]", line):  # words without sentences
-            score += np.log([0.02, 0.02, 0.02, 0.94])
+            share = _familiarity(words, known) if words else 0.0
+            familiar = 0 if share < 0.22 else 1 if share < 0.45 else 2
+        odd = (not html and not rule and level < 2 or looping and level == 0) and (
+            noise or looping or is_junky(body, tokens, digits) or not words and not rule and not html or len(words) >= 12 and len(set(words)) <= 0.25 * len(words)
+        )
+        values = (
+            items[k] and not rule, level, wrapped, (ended[k] or follows[k]) if not wrapped or ended[k] else 2, 3 if wrapped else 0 if len(line) < 50 else 1 if len(line) < 125 else 2,
+            0 if signs < 0.22 else 1 if signs < 0.5 else 2, familiar, odd,
+        )
+        out.append(sum(map(int.__mul__, map(int, values), _STEPS)) + (len(words) >= 25 and not _BREAK.search(line)))
     return out
 
 
-def label_lines(lines: list[str], known: frozenset[str]) -> list[int]:
-    """State of each line that isn't blank."""
-    emit = line_scores(lines, known)
-    value, came = emit[0] + np.log([0.4, 0.2, 0.2, 0.2]), []
-    for row in emit[1:]:
-        through = value[:, None] + _MOVE
-        came.append(through.argmax(axis=0))
-        value = through.max(axis=0) + row
-    path = [int(value.argmax())]
-    for back in reversed(came):
-        path.append(int(back[path[-1]]))
-    return path[::-1]
-
-
-def shape_of(text: str | None, known: frozenset[str]) -> tuple[int, list[float], str] | None:
-    """(lines, share of each state's lines, shape), or None for null and blank texts."""
+def text_codes(text: str | None, known: frozenset[str]) -> tuple[list[int], list[int]] | None:
+    """(code, characters) of each line that isn't blank, or None for null and blank texts."""
     if not text or is_blank(text):
         return None
-    lines = ["" if is_blank(x) else x.rstrip() for x in re.split("\r\n|[\n\r\x0b\x0c\x85  ]", drop_invisible(text))]
-    labels = label_lines(lines, known)
-    shares = [labels.count(s) / len(labels) for s in range(4)]
-    size = [0, 0, 0, 0]
-    for s, line in zip(labels, (x for x in lines if x)):
-        size[s] += len(line)
+    lines = ["" if is_blank(x) else x.rstrip() for x in _LINE.split(drop_invisible(text))]
+    return line_codes(lines, known), [len(x) for x in lines if x]
+
+
+def shape_of(shares: list[float], size: list[int]) -> str:
+    """Shape by the share of each state's lines and its characters."""
     if shares[1] > 0.5:
-        shape = "list"
-    elif shares[2] > 0.5:
-        shape = "table"
-    elif shares[3] > 0.5 or size[3] > 0.5 * sum(size):
-        shape = "junk"
-    elif shares[0] >= 0.5 or size[0] >= 0.5 * sum(size):
-        shape = "prose"
-    else:
-        shape = STATES[max(range(4), key=lambda s: (shares[s], size[s]))]
-    return len(labels), shares, shape
+        return "list"
+    if shares[2] > 0.5:
+        return "table"
+    if shares[3] > 0.5 or size[3] > 0.5 * sum(size):
+        return "junk"
+    if shares[0] >= 0.5 or size[0] >= 0.5 * sum(size):
+        return "prose"
+    return STATES[max(range(4), key=lambda s: (shares[s], size[s]))]
+
+
+def coded_lines(docs: DataFrame, id_col: str, text_col: str, known: frozenset[str]) -> DataFrame:
+    """(id, codes, sizes) per row whose text isn't null or blank: two and four bytes a line."""
+    picked = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")), "id")
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                got = [(k, *found) for k, text in enumerate(part.column(1).to_pylist()) if (found := text_codes(text, pairs))]
+                columns = [part.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([np.array(g[1], np.uint16).tobytes() for g in got], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([np.array(g[2], np.uint32).tobytes() for g in got], pa.binary())], names=["id", "codes", "sizes"])
+
+    return picked.mapInArrow(run, f"id {kind}, codes binary, sizes binary")
+
+
+def _unpack(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype=kind), np.array([len(x) for x in raw], dtype=np.int64) // np.dtype(kind).itemsize
+
+
+def fit_shapes(coded: DataFrame, rounds: int = ROUNDS) -> Shapes:
+    """The model fitted to all lines by Baum and Welch's method, from and towards ``PRIOR``; some 120 sums a round reach the driver."""
+    model = Shapes()
+    for _ in range(rounds):
+        now = model
+
+        def run(batches: Iterator[pa.RecordBatch], now: Shapes = now) -> Iterator[pa.RecordBatch]:
+            seen: np.ndarray | float = 0.0
+            for batch in batches:
+                for start in range(0, batch.num_rows, 4096):
+                    codes, lengths = _unpack(batch.column(0).slice(start, 4096), np.uint16)
+                    seen = seen + now.expect(codes, lengths)
+            if isinstance(seen, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(seen)), pa.int32()), pa.array(seen, pa.float64())], names=["at", "n"])
+
+        sums = {r["at"]: r["n"] for r in coded.select("codes").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+        if not sums:
+            break
+        model = model.refit(np.array([sums[k] for k in range(len(sums))]))
+    return model
 
 
 def document_shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: frozenset[str] | None = None) -> DataFrame:
     """One row (id_col, n_lines, prose, list, table, junk, shape) per row whose text isn't null or blank.
 
     The four columns are shares of its lines, blank ones not counted. Repeated rows are labelled alike; other columns
-    are ignored. The familiar pairs (bounded by ``LEAST_SHARE``) go by broadcast.
+    are ignored. The familiar pairs (bounded by ``LEAST_SHARE``) go by broadcast. Texts are read twice, for the pairs and
+    for the statistics of lines; these are written to the checkpoint folder, where fitting and labelling read them.
     """
-    picked = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")), "id")
-    shared = docs.sparkSession.sparkContext.broadcast(familiar_pairs(docs, text_col) if known is None else known)
+    coded = cut(coded_lines(docs, id_col, text_col, familiar_pairs(docs, text_col) if known is None else known))
+    model = fit_shapes(coded)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = shared.value
         for batch in batches:
-            got = [(k, *found) for k, text in enumerate(batch.column(1).to_pylist()) if (found := shape_of(text, pairs))]
-            columns = [batch.column(0).take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int32())]
-            columns += [pa.array([g[2][s] for g in got], pa.float64()) for s in range(4)] + [pa.array([g[3] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_lines", *STATES, "shape"])
-
-    return picked.mapInArrow(run, f"id {kind}, n_lines int, prose double, list double, table double, junk double, shape string").withColumnRenamed("id", id_col)
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                if not part.num_rows:
+                    continue
+                codes, lengths = _unpack(part.column(1), np.uint16)
+                sizes, _ = _unpack(part.column(2), np.uint32)
+                labels, starts = model.label(codes, lengths), np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                shares = np.stack([np.add.reduceat(labels == s, starts, dtype=np.int64) for s in range(4)], axis=1) / lengths[:, None]
+                chars = np.stack([np.add.reduceat(np.where(labels == s, sizes, 0), starts, dtype=np.int64) for s in range(4)], axis=1)
+                shapes = [shape_of(a, b) for a, b in zip(shares.tolist(), chars.tolist())]
+                columns = [part.column(0), pa.array(lengths, pa.int32()), *(pa.array(shares[:, s], pa.float64()) for s in range(4)), pa.array(shapes, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_lines", *STATES, "shape"])
+
+    return coded.mapInArrow(run, f"id {kind}, n_lines int, prose double, list double, table double, junk double, shape string").withColumnRenamed("id", id_col)
 
 
 def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +417,9 @@ def text_statistics(docs: DataFrame, common: DataFrame, id_col: str = "doc_id",
     of words in ``common`` (a fixed list of a few hundred words, of any language). Null and blank texts have 0 words
     and null shares. Only built-in functions.
     """
-    listed = [r["word"] for r in common.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().orderBy("word").take(20_000)]
+    listed = [r["word"] for r in common.select(F.lower("word").alias("word")).where("word IS NOT NULL").distinct().orderBy("word").limit(MOST_COMMON + 1).collect()]
+    if len(listed) > MOST_COMMON:
+        raise ValueError("the list of common words is too long to be a part of the plan")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"[\s\x{A0}]+", "") != "")
