@@ -14,6 +14,7 @@ are decoded, which is a bound on the Viterbi score and so drops nothing.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,18 +23,25 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm.marks import is_blank
 from quillspark.util import spread
 
-#: Bound of the model: so many bigrams at most are kept, the most frequent ones (about 20 bytes each).
-MODEL_BIGRAMS = 80_000
+#: A bigram is in the model at this share of its script's (block of 256 code points, Han as one): at most 1 / share of
+#: them can be, and a script that is rare in the corpus keeps its own.
+LEAST_SHARE = 5e-6
 #: Log probabilities of entering and leaving a pair's state.
 ENTER, LEAVE = -7.0, -2.0
 #: Smoothing: weight of the unigram in a bigram, and least probabilities.
 SMOOTH, FLOOR = 20.0, 1e-9
-#: Up to this many characters the bound on gains is a table.
-DENSE = 3072
+#: Rows and columns of the table that bounds gains. Beyond, rare characters share the last ``SHARED`` of them, each of
+#: which bounds all that share it; so lines are never lost, but more of them are decoded.
+DENSE, SHARED = 3072, 512
+#: So many letters in a row, of one script that the clean state hasn't seen, are text of that script, unless they are UTF-8.
+UNSEEN_RUN = 3
+#: A script (block of 128 code points) is seen if it makes up this share of clean text; less may be noise.
+LEAST_SCRIPT = 1e-4
 #: Cost of entering a state that explains other lines of the same text.
 AGAIN = -2.5
 #: By how much (in log probability) a restored line must be likelier than the line as found.
@@ -131,22 +139,31 @@ def restore(text: str, wrong: str, true: str) -> str | None:
 _LATIN = "àáâãäçèéêëìíîïñòóôõöùúûüßœæÀÁÂÃÄÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜŒÆ"
 _SIDE_BY_SIDE = re.compile("[ñÑ][áéíóúÁÉÍÓÚ]|[çÇ][ãõáéóÃÕÁÉÓ]|[äöüÄÖÜ]ß|éé|ïé|ÉÉ")
 _SYMBOLS = "„“”‘•…€§°«»¡¿·"
+# Scripts beside those of the texts' languages, as blocks; a word of theirs has no letter of another.
+_OTHER = "\u0370-\u03ff\u0530-\u058f\u0900-\u0e7f\u10a0-\u10ff\u1f00-\u1fff\u3040-\u30ff\uac00-\ud7af"
+_RARE = "ÅåØøÐðÞþÝýÿ"
+_EXTENDED = _RARE + "\u0100-\u024f\u1e00-\u1eff"
+_EXTENDED_UPPER = "".join(c for k in (*range(0x100, 0x250), *range(0x1E00, 0x1F00)) if (c := chr(k)).isupper())
 _FOREIGN_CLASS = (
-    f"[^\\x00-\\x7f{_LATIN}א-תА-яЁёء-غـ-ْ"
+    f"[^\\x00-\\x7f{_LATIN}{_EXTENDED}{_OTHER}א-תА-яЁёء-غـ-ْ"
     "一-鿿　-〕，-；！？（）؟،؛"
-    "«»°§·…‐‑–—‘’“”„•€₪¿¡\xa0-‏‪-‮⁦-⁩﻿]"
+    "«»°§·…‐‑–—‘’“”„•€₪¿¡\xa0\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
 )
-_FOREIGN = re.compile(_FOREIGN_CLASS)
+_FOREIGN, _OTHERS = re.compile(_FOREIGN_CLASS), re.compile(f"[{_OTHER}]")
 _ODD = re.compile(
     _FOREIGN_CLASS
-    + f"|[{_LATIN}][{_LATIN}]|[ÃÂ][^A-ZÀ-Þ]|[a-zß-ÿ][À-ÖØ-Þ]"
+    + f"|[{_LATIN}][{_LATIN}]|[ÃÂ][^A-ZÀ-Þ]|[a-zß-ÿ][À-ÖØ-Þ{_EXTENDED_UPPER}]"
+    f"|[{_RARE}ĂĹ][{_LATIN}{_EXTENDED}]|[{_LATIN}{_EXTENDED}][{_RARE}ĂĹ]|[ĂĹ][^A-Za-z]|[ÄÂÃ][{_EXTENDED}]"
+    f"|[{_EXTENDED}][„“”‘•…€§°«»¡¿·]|[„“”‘•…€§°«»¡¿·][{_EXTENDED}]"
+    f"|[A-Za-zÀ-ÿ{_EXTENDED}А-яЁёא-תء-ي][{_OTHER}]|[{_OTHER}][A-Za-zÀ-ÿ{_EXTENDED}А-яЁёא-תء-ي]"
+    f"|[{_EXTENDED}][А-яЁёא-תء-ي]|[А-яЁёא-תء-ي][{_EXTENDED}]|[α-ωά-ώ][Α-ΩΆ-Ώ]|[Α-Ω]{{3}}"
     "|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[A-Za-zÀ-ÿ][А-яЁёא-תء-ي]|[А-яЁёא-תء-ي][A-Za-zÀ-ÿ]"
     "|[^\\W\\d_][„“”‘•…€§°«»¡¿·][^\\W\\d_]"
 )
 
 
-# Symbols that stand alone in clean text; next to letters beyond ASCII they may be half a character.
-_ALONE = re.compile("(?<![^\\x00-\\x7f])(?:(?<![A-Za-z])[¢£¤¥¦©¬®¯±µ¶º¹¼½¾×÷ª†‡№™‰≠≤≥≈∞∑∏∂√∫Ø]|[²³])(?![^\\x00-\\x7f]|[A-Za-z])")
+# Symbols that stand alone in clean text, and marks that divide a line's last word; next to letters beyond ASCII they may be half a character.
+_ALONE = re.compile("(?<![^\\x00-\\x7f])(?:(?<![A-Za-z])[¢£¤¥¦©¬®¯±µ¶º¹¼½¾×÷ª†‡№™‰≠≤≥≈∞∑∏∂√∫Ø]|[²³])(?![^\\x00-\\x7f]|[A-Za-z])|(?<=[^\\W\\d_])[\xad¬]\\s*$")
 
 
 _HAN = re.compile("[一-鿿]")
@@ -162,7 +179,7 @@ def trustworthy(line: str) -> bool:
     """Whether a line may teach the clean state: no characters or neighbours that wrong decoding leaves."""
     if line.isascii():
         return True
-    if _ODD.search(line) and (len(line) > 5000 or _ODD.search(_ALONE.sub("", _SIDE_BY_SIDE.sub("", line)))):
+    if _ODD.search(line) and _ODD.search(_ALONE.sub("", _SIDE_BY_SIDE.sub("", line))):
         return False
     return all(map(_common_han, set(_HAN.findall(line))))
 
@@ -170,7 +187,7 @@ def trustworthy(line: str) -> bool:
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
     """Kind of each code point: 0 plain, 1 and 2 ASCII letters (lower, upper), 3 and 4 the Latin letters beyond, 5 Ã and Â,
-    6 and 7 Cyrillic, 8 Hebrew and Arabic, 9 Han, 10 symbols, 11 what no text should hold."""
+    6 and 7 Cyrillic, 8 Hebrew and Arabic, 9 Han, 10 symbols, 11 what no text should hold, 12 further Latin letters, 13 other scripts."""
     kinds = np.full(0x110000, 11, dtype=np.uint8)
     kinds[:0x80] = 0
     for code in range(0x41, 0x10000):
@@ -180,14 +197,15 @@ def _kinds() -> np.ndarray:
         elif c.isascii():
             kinds[code] = 0 if not c.isalpha() else 2 if c.isupper() else 1
         elif not _FOREIGN.match(c):
-            kinds[code] = 5 if c in "ÃÂ" else (4 if c.isupper() else 3) if c in _LATIN else (7 if c.isupper() else 6) if "Ѐ" <= c <= "ӿ" else 8 if "֐" <= c <= "ۿ" and c.isalpha() else 10 if c in _SYMBOLS else 0
+            kinds[code] = 12 if c in _RARE or 0x100 <= code < 0x250 or 0x1E00 <= code < 0x1F00 else 13 if _OTHERS.match(c) else 5 if c in "ÃÂ" else (4 if c.isupper() else 3) if c in _LATIN else (7 if c.isupper() else 6) if "Ѐ" <= c <= "ӿ" else 8 if "֐" <= c <= "ۿ" and c.isalpha() else 10 if c in _SYMBOLS else 0
     return kinds
 
 
 @lru_cache(maxsize=1)
 def _neighbours() -> np.ndarray:
     """Which kinds are odd side by side: a superset of what :func:`trustworthy` refuses."""
-    odd = np.zeros((12, 12), dtype=bool)
+    odd = np.zeros((14, 14), dtype=bool)
+    odd[12, :] = odd[:, 12] = odd[13, :] = odd[:, 13] = True
     odd[11, :] = odd[:, 11] = True
     odd[np.ix_([3, 4, 5], [3, 4, 5])] = True
     odd[5, [0, 1, 3, 6, 7, 8, 9, 10]] = True
@@ -231,14 +249,45 @@ def _least(c: str) -> float:
     return 1e-5 if c.isalpha() and ord(c) < 0x250 else 3e-6
 
 
+def _script(c: str) -> int:
+    """0 for what is no letter, else one number per script that words don't mix."""
+    code = ord(c) if c and c.isalpha() else 0
+    return 0 if not code else 1 if code < 0x250 else 2 if code < 0x400 else 3 if code < 0x530 else code >> 8
+
+
+def _breaks(text: str) -> int:
+    """Places where letters of two scripts meet, or a capital follows a small letter: words of clean text have few."""
+    return sum(1 for a, b in zip(text, text[1:]) if (x := _script(a)) and (y := _script(b)) and (x != y or a.islower() and b.isupper()))
+
+
+def _misfits(before: str, span: str, better: str, after: str) -> int:
+    """How many words that were whole a restored span breaks: by letters of another script or case, by a symbol in the
+    place of a letter or a smudge, by a space that ends a word a second time."""
+    broken = max(0, _breaks(before + better + after) - _breaks(before + span + after))
+    if before.isalpha() and after.isalpha():
+        broken += span[0].isalpha() and not better[0].isalpha() or span[-1].isalpha() and not better[-1].isalpha() or len(span) == 1 and not better[0].isalpha() and better not in "'’‘-"
+    return broken + (better.isspace() and before.isalpha() and not after.isalnum())
+
+
+# Marks that divide a word at a line's end, and smudges of scanners; these alone are no misreading.
+_ADJACENT, _SHOUTED = re.compile("[^\x00-\x7f]{2}"), re.compile("[^\\W\\d_]+")
+_UTF8 = [k for k, (_, true) in enumerate(PAIRS, 1) if true == "utf-8"]
+_ASCII = re.compile("[\x00-\x7f]+")
+_SMUDGE = re.compile("[\xad¬]|(?P<s>[¬■\xad])(?P=s)+|■")
+
+
 class Model:
     """Emission tables of all states over the alphabet that the counts and their misreadings span.
 
-    It is built once, by the driver, and broadcast: at most ``MODEL_BIGRAMS`` times the misreadings of each.
+    It is built once, by the driver, and broadcast: the bigrams of :func:`fit` and the misreadings of each.
     """
 
     def __init__(self, counts: list[tuple[int, int]]) -> None:
         clean = [(chr(k >> 21), chr(k & 0x1FFFFF), n) for k, n in counts]
+        scripts: dict[int, int] = defaultdict(int)
+        for _, b, n in clean:
+            scripts[ord(b) >> 7] += n
+        self.scripts = frozenset(k for k, n in scripts.items() if n >= LEAST_SCRIPT * sum(scripts.values()))
         tables: list[dict[tuple[str, str], float]] = [{(a, b): float(n) for a, b, n in clean}]
         for wrong, true in PAIRS:
             tables.append(self._simulate(clean, wrong, true))
@@ -280,21 +329,36 @@ class Model:
         self.gains = None
 
     def _tabulate(self) -> None:
-        """Best gain of a state over the clean one by pair of characters, a table for each group of states: pairs that
-        read letters as letters of another alphabet would loosen the bound of all others."""
-        if self.gains is None and self.size <= DENSE:
-            letters = {"cp1253": 1, "cp1255": 1, "cp1256": 1, "cp1251": 2, "koi8-r": 2, "cp866": 2}
-            group = [letters.get(wrong, 0) if true != "utf-8" else 0 for wrong, true in PAIRS]
-            self.gains = []
-            for g in sorted(set(group)):
-                states = [k for k, x in enumerate(group, 1) if x == g]
-                table = np.empty((self.size, self.size), dtype=np.float32)
-                uni = np.ascontiguousarray(self.log_uni[:, states])
-                for a in range(self.size):
-                    table[a] = (uni + self.log_back[a, states]).max(axis=1) - self.log_uni[:, 0] - self.log_back[a, 0]
-                table[np.ix_(self.plain, self.plain)] = 0
-                table.reshape(-1)[self.keys] = self.log_bi[:, states].max(axis=1) - self.log_bi[:, 0]
-                self.gains.append(table)
+        """Bound on the gain of a state over the clean one by pair of characters, a table for each group of states: pairs
+        that read letters as letters of another alphabet would loosen the bound of all others."""
+        if self.gains is not None:
+            return
+        letters = {"cp1253": 1, "cp1255": 1, "cp1256": 1, "cp1251": 2, "koi8-r": 2, "cp866": 2}
+        group = [letters.get(wrong, 0) if true != "utf-8" else 0 for wrong, true in PAIRS]
+        width = min(self.size, DENSE)
+        self.slot = np.arange(self.size)
+        if self.size > width:  # the characters that are likeliest in any state keep a slot of their own, ASCII and unknown ones first
+            rank = self.log_uni.max(axis=1) + 100 * (self.plain | (np.arange(self.size) == 0))
+            order = np.argsort(-rank, kind="stable")
+            self.slot[order] = np.minimum(np.arange(self.size), width - SHARED + np.arange(self.size) % SHARED)
+        own = np.bincount(self.slot, minlength=width) == 1
+        firsts, seconds = self.slot[self.keys // self.size], self.slot[self.keys % self.size]
+        exact = own[firsts] & own[seconds]
+        plain = self.slot[self.plain]
+        self.gains = []
+        for g in sorted(set(group)):
+            states = [k for k, x in enumerate(group, 1) if x == g]
+            after, into = np.full((width, len(states)), -np.inf, dtype=np.float32), np.full((width, len(states)), -np.inf, dtype=np.float32)
+            np.maximum.at(after, self.slot, self.log_back[:, states] - self.log_back[:, :1])
+            np.maximum.at(into, self.slot, self.log_uni[:, states] - self.log_uni[:, :1])
+            table = np.empty((width, width), dtype=np.float32)
+            for a in range(width):
+                table[a] = (into + after[a]).max(axis=1)
+            gain = self.log_bi[:, states].max(axis=1) - self.log_bi[:, 0]
+            table[np.ix_(plain, plain)] = 0
+            table[firsts[exact], seconds[exact]] = gain[exact]
+            np.maximum.at(table, (firsts[~exact], seconds[~exact]), gain[~exact])
+            self.gains.append(table)
 
     def _key(self, a: str, b: str) -> int:
         return int(self.code[ord(a)]) * self.size + int(self.code[ord(b)])
@@ -341,10 +405,10 @@ class Model:
     def suspects(self, lines: list[str]) -> list[int]:
         """Which lines could leave the clean state: those whose best gains together exceed the cost of entering."""
         self._tabulate()
-        if self.gains is None or not lines:
-            return list(range(len(lines)))
+        if not lines:
+            return []
         codes = np.frombuffer(("\n" + "\n".join(lines)).encode("utf-32-le", "replace"), dtype=np.uint32)
-        ids = self.code[codes]
+        ids = self.slot[self.code[codes]]
         starts = np.cumsum([0, *[len(line) + 1 for line in lines[:-1]]])
         out: set[int] = set()
         for table in self.gains:
@@ -357,6 +421,19 @@ class Model:
                         out.add(k)
         return sorted(out)
 
+    def _other_script(self, line: str) -> list[bool]:
+        """Which characters stand in ``UNSEEN_RUN`` or more letters in a row of one script that clean text doesn't use, in
+        the case of a word."""
+        out, start, script = [False] * len(line), 0, 0
+        for k, c in enumerate(line + "\n"):
+            here = ord(c) >> 7 if c.isalpha() and ord(c) > 0xFF and ord(c) >> 7 not in self.scripts else 0
+            if here != script:
+                run = line[start:k]
+                if script and len(run) >= UNSEEN_RUN and (run[1:] == run[1:].lower() or run == run.upper()):
+                    out[start:k] = [True] * len(run)
+                start, script = k, here
+        return out
+
     def clean_score(self, line: str) -> float:
         ids = self.code[np.frombuffer(("\n" + line).encode("utf-32-le", "replace"), dtype=np.uint32)].astype(np.int64)
         a, b = ids[:-1], ids[1:]
@@ -422,6 +499,7 @@ class Model:
             for run in re.finditer(r"[^\x00-\x7f]+", line):
                 if s in labels[run.start() : run.end()]:
                     labels[run.start() : run.end()] = [s] * len(run.group())
+        other, folded = self._other_script(line), _SHOUTED.sub(lambda m: m[0].lower() if m[0].isupper() and len(m[0].lower()) == len(m[0]) else m[0], line)
         out, start, used = [], 0, {}
         for i in range(1, len(line) + 1):
             if i < len(line) and labels[i] == labels[start]:
@@ -429,15 +507,27 @@ class Model:
             span, state, before = line[start:i], labels[start], line[start - 1 : start]
             start = i
             if state and not span.isascii():
-                better = restore(span, *PAIRS[state - 1])
-                if better is None or LOSS in better and LOSS not in span:  # a like pair may lose nothing
-                    others = [(self.clean_score(x), x, k) for k, pair in enumerate(PAIRS, 1) if (x := restore(span, *pair)) is not None and LOSS not in x and x != span]
-                    if others:
-                        _, better, state = max(others)
+                better, whole = restore(span, *PAIRS[state - 1]), False
+                if _SMUDGE.fullmatch(_ASCII.sub("", span)) and (before.isalpha() or len(span) > 1):
+                    better = span
+                elif better is None or PAIRS[state - 1][1] != "utf-8" or LOSS in better:
+                    # a span that another pair reads as UTF-8 without loss hardly came about otherwise
+                    exact = [(self.clean_score(x), x, k) for k in _UTF8 if (x := restore(span, *PAIRS[k - 1])) is not None and LOSS not in x and len(x) < len(span)] if _ADJACENT.search(span) else []
+                    if exact and (better is None or LOSS in better or max(exact)[0] + STRONG > self.clean_score(better)):
+                        (_, better, state), whole = max(exact), True
+                    elif 2 * sum(other[i - len(span) : i]) > sum(map(str.isalpha, span)):
+                        better = span  # text of its own script
+                    elif better is None or LOSS in better and LOSS not in span:  # a like pair may lose nothing
+                        others = [(self.clean_score(x), x, k) for k, pair in enumerate(PAIRS, 1) if (x := restore(span, *pair)) is not None and LOSS not in x and x != span]
+                        if others:
+                            _, better, state = max(others)
+                else:
+                    whole = bool(_ADJACENT.search(span))
                 if better is not None and (better != span or LOSS in span):
                     ends = line[i : i + 1]
-                    gain = self.clean_score(before + better + ends) - self.clean_score(before + span + ends)
-                    if LOSS in span or gain > MARGIN:
+                    found = max(self.clean_score(before + span + ends), self.clean_score(folded[i - len(span) - len(before) : i + 1]))
+                    gain = self.clean_score(before + better + ends) - found
+                    if LOSS in span or gain > MARGIN + STRONG * (1 + broken if not whole and (broken := _misfits(before, span, better, ends)) else 0):
                         span = better
                         used[state] = used.get(state, 0.0) + (STRONG if LOSS in span else gain)
             out.append(span)
@@ -464,9 +554,12 @@ class Model:
 
 
 def fit(files: DataFrame, text_col: str = "markdown") -> list[tuple[int, int]]:
-    """Counts of the most frequent bigrams of all trustworthy lines, at most ``MODEL_BIGRAMS`` of them."""
-    counts = count_bigrams(files, text_col).orderBy(F.desc("n"), "pair").limit(MODEL_BIGRAMS)
-    return [(r["pair"], r["n"]) for r in counts.collect()]
+    """Counts of the bigrams of all trustworthy lines that make up ``LEAST_SHARE`` of their script's, in order."""
+    high = F.greatest(F.shiftright("pair", 21), F.col("pair").bitwiseAND(F.lit(0x1FFFFF)))
+    script = F.when(high.between(0x3400, 0x9FFF), F.lit(0x4E)).otherwise(F.shiftright(high, 8))
+    # the window is over different bigrams, not over texts
+    counts = count_bigrams(files, text_col).withColumn("script", script).withColumn("all", F.sum("n").over(Window.partitionBy("script")))
+    return sorted((r["pair"], r["n"]) for r in counts.where(F.col("n") >= F.col("all") * LEAST_SHARE).select("pair", "n").collect())
 
 
 def repaired_lines(files: DataFrame, id_col: str = "file_id", text_col: str = "markdown", counts: list[tuple[int, int]] | None = None) -> DataFrame:

@@ -236,6 +236,32 @@ def test_pairs_of_own_state(line, pair):
     assert model_of([*CLEAN, GREEK, HAN]).repair_text(mojibake.misread(line, *pair) + "\n" + CLEAN[5]) == {0: line}
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Η αίτηση υποβάλλεται στο γραφείο", "Wniosek złożono w urzędzie; źródło: księga", "Başvuru müdürlüğe yapılır, şirket çalışanları", "คำร้องยื่นต่อสำนักงาน", "Žádost se podává u příslušného úřadu",
+        "The archive confirms the delay about do\xad", "rul■, the caretaker does not replace the employer", "LA SOCIETÀ È GIÀ PERCHÉ COSÌ PIÙ VIRTÙ", "ЗАЯВИТЕЛЬ ПОДТВЕРЖДАЕТ РЕШЕНИЕ СОВЕТА", "en 1990¬¬ la société", "Ångström Albees Ærø, Łódka, Þing",
+    ],
+)
+def test_clean_text_of_unseen_scripts_stays(line):
+    assert model_of(CLEAN * 4).repair_text(line + "\n" + CLEAN[1]) == {}
+
+
+def test_a_large_alphabet_shares_slots_and_loses_nothing(monkeypatch):
+    text = [*CLEAN, GREEK, HAN]
+    bad = [mojibake.misread(line, "cp1252", "utf-8") for line in text if mojibake.misread(line, "cp1252", "utf-8") != line]
+    whole = model_of(text)
+    monkeypatch.setattr(mojibake, "DENSE", 200)
+    monkeypatch.setattr(mojibake, "SHARED", 40)
+    tight = model_of(text)
+    assert set(tight.suspects(bad + text)) >= set(whole.suspects(bad + text)) >= set(range(len(bad))) and tight.gains[0].shape == (200, 200)
+
+
+def test_long_lines_teach_as_short_ones_do():
+    line = "the measure is 3 × 4 m and l'été dura ½ mois. " * 200
+    assert len(line) > 5000 and mojibake.trustworthy(line) == mojibake.trustworthy(line[:46])
+
+
 def test_spans_of_many_pairs_in_a_line():
     pairs = [(CLEAN[0], ("cp1252", "utf-8")), (CLEAN[1], ("cp1250", "utf-8")), (CLEAN[4][:22], ("cp1252", "cp1251")), (CLEAN[3][:20], ("cp1252", "cp1255"))]
     line = " The employer shall keep the file and return the report. ".join(mojibake.misread(text, *pair) for text, pair in pairs)
