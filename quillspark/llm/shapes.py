@@ -104,7 +104,7 @@ PRIOR = {
 # The first line's states, how likely a state goes on, and what many words without any sentence say.
 FIRST, _STAY, _UNBROKEN = np.array([0.4, 0.2, 0.2, 0.2]), 0.88, np.array([0.02, 0.02, 0.02, 0.94])
 #: How much what the states are taken to show weighs in fitting, as a multiple of what the corpus shows; rounds of fitting.
-PRIOR_WEIGHT, ROUNDS = 3.0, 0
+PRIOR_WEIGHT, ROUNDS = 3.0, 3
 
 NAMES = tuple(PRIOR)
 _SIZES = [PRIOR[name].shape[1] for name in NAMES]
