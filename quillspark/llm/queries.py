@@ -11,16 +11,12 @@ from quillspark.llm import bpe, mixing, mojibake, scans, shapes, splitting, surv
 from quillspark.util import table
 
 
-def _kinds(spark: SparkSession, d: str) -> list[str]:
-    return sorted(r["source_kind"] for r in table(spark, d, "source_trust").where("source_kind IS NOT NULL").select("source_kind").distinct().take(1000))
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors_found(table(spark, d, "cic_it_canons"), table(spark, d, "source_trust"))
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    return survivors.golden_records(table(spark, d, "cic_it_canons"), table(spark, d, "source_trust"), _kinds(spark, d))
+    return survivors.golden_records(table(spark, d, "cic_it_canons"), table(spark, d, "source_trust"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

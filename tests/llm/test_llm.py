@@ -118,7 +118,7 @@ def test_survivors_equal_brute_force(spark):
                 want.add((min(r[0] for r in g), field, best[0]))
     got = [tuple(r) for r in survivors.survivors_found(df, trust).collect()]
     assert set(got) == want and len(got) == len(want)
-    assert survivors.golden_records(df, trust, ["a", "b"], ("in_force_note",)).count() == len(groups)
+    assert survivors.golden_records(df, trust, ("in_force_note",)).count() == len(groups)
     assert survivors.survivors_found(df.where("false"), trust).count() == 0
 
 
@@ -127,9 +127,41 @@ def test_currency_orders_undated(spark):
     rows = [(k * 10 + j, f"g{k}", None, "t", "t", kind, day + dt.timedelta(days=j), "p", kind, 1, "z") for k in range(4) for j, kind in enumerate(["a", "b", "c"])]
     rows += [(901, "gx", None, "t", "t", "a", day, "p", "from a", 1, "z"), (902, "gx", None, "t", "t", "c", None, "p", "from c", 1, "z")]
     trust = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "source_kind string, trust int")
-    got = {r["chunk_key"]: r for r in survivors.golden_records(spark.createDataFrame(rows, CANON), trust, ["a", "b", "c"], ("in_force_note",)).collect()}
+    got = {r["chunk_key"]: r for r in survivors.golden_records(spark.createDataFrame(rows, CANON), trust, ("in_force_note",)).collect()}
     assert got["gx"]["in_force_note"] == "from c"  # c follows b follows a wherever rows are dated
-    assert survivors.topological_ranks([("a", "b", 3), ("b", "a", 1), ("b", "c", 1)], ["a", "b", "c"]) == {"a": 0, "b": 1, "c": 2}
+
+
+def test_precedence_is_a_partial_order():
+    chain = survivors.ancestors([("a", "b", 3), ("b", "a", 1), ("b", "c", 1)])
+    assert chain == {"b": {"a"}, "c": {"a", "b"}}
+    one = survivors.ancestors([("web", "ocr", 5)])
+    assert one == {"ocr": {"web"}}  # api and book aren't related to either
+    loop = survivors.ancestors([("a", "b", 9), ("b", "c", 8), ("c", "a", 2)])
+    assert loop == {"b": {"a"}, "c": {"a", "b"}}  # the weakest pair of the cycle is left out
+
+
+def test_values_transitions_decide(spark):
+    day, rows, rec = dt.datetime(2024, 1, 1), [], 0
+
+    def add(chunk, note, when, kind="a"):
+        nonlocal rec
+        rec += 1
+        rows.append((rec, chunk, None, "t", "t", kind, when and day + dt.timedelta(days=when), "p", note, 1, "z"))
+
+    for k in range(4):  # dated rows: a draft becomes in force, then repealed; "other" is unrelated
+        for j, note in enumerate(["draft", "in force", "repealed"], 1):
+            add(f"g{k}", note, j)
+        add(f"h{k}", "other", 1)
+    add("x", "in force", 5), add("x", "repealed", None), add("x", "draft", None)  # repealed follows what is dated
+    add("y", "in force", 5), add("y", "draft", None)  # draft doesn't
+    add("z", "draft", None), add("z", "repealed", None), add("z", "in force", None)  # nothing dated: the order alone
+    add("u", "in force", 5), add("u", "other", None)  # unrelated: the date counts
+    add("v", None, 9), add("v", "n/d", 9)
+    got = {r["chunk_key"]: r["in_force_note"] for r in survivors.golden_records(spark.createDataFrame(rows, CANON), spark.createDataFrame([("a", 1)], "source_kind string, trust int"), ("in_force_note",)).collect()}
+    assert (got["x"], got["y"], got["z"], got["u"], got["v"]) == ("repealed", "in force", "repealed", "in force", None)
+    overlapping = [(9, "o", None, "t", "t", k, day + dt.timedelta(days=d), "p", "n", 1, "z") for k, d in (("a", 0), ("b", 1), ("a", 2), ("b", 3))]
+    assert survivors.transition_counts(spark.createDataFrame(overlapping, CANON), ["chunk_id"], "source_kind", "scraped_at").count() == 0
+
 
 
 # ---- mixing ----------------------------------------------------------------------------------------------------------
