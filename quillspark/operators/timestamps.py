@@ -1,12 +1,13 @@
 """Mixed timestamp notations and zones to one unambiguous instant.
 
-Three steps. (1) Each text is read into a wall-clock time and, where the text names one, an offset or a zone;
-an Arrow batch function, as the notations need more than a pattern. (2) For wall-clock times without a zone,
-the offset history (an IANA zone) of the place that wrote them is estimated: every candidate history converts
-the times, and each row that would then have been ingested before it was written, or whose wall-clock time
-the history skips, is a violation; a zone that the place is documented to use has the word of all its rows
-against any other. The history with the fewest violations is used. (3) Times convert; those that occur twice
-or not at all in the history have no instant.
+Three steps. (1) Each text is read once into a wall-clock time and, where the text names one, an offset or a zone; an
+Arrow batch function, as the notations need more than a pattern. What was read is written to the checkpoint folder.
+(2) For wall-clock times without a zone, the offset history (an IANA zone) of the place that wrote them is estimated. The
+rows that state an offset show how long after their instant rows are ingested. Every history that any IANA zone has in
+the time of the data then converts each zone-less row: one that would be ingested before it was written, or whose
+wall-clock time the history skips, is a violation and costs most; another costs by how rare its delay is. The history of
+least cost is used. A zone that the place is documented to use is favoured by fixed odds (``DOCUMENTED``), which enough
+rows outweigh. (3) Times convert; those that occur twice or not at all in the history have no instant.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.util import spread
+from quillspark.util import cut, spread
 
 # Month names and abbreviations, January to December, without their dots.
 MONTH_NAMES = (
@@ -67,8 +69,13 @@ _SHAPES = tuple(
 )
 _EPOCH = re.compile(r"(\d{9,10}|\d{13}|\d{16}|\d{19})(?:\.(\d+))?\Z")
 _US = 1_000_000
-#: Ingestion this soon after an instant speaks for the zone that gives it.
-NEAR_US = 300 * _US
+#: Places (rows of the table of places, and places that rows name) go to every task; more than these are refused.
+MOST_PLACES = 10_000
+#: Log odds of a documented zone against any other.
+DOCUMENTED = 20.0
+#: Delays by quarters of an hour for half a day, then by doublings; cost of a violation; rows that the assumed shape of
+#: delays (ever rarer) weighs against those that show them.
+QUARTER, QUARTERS, DOUBLINGS, VIOLATION, ASSUMED = 900, 48, 14, 12.0, 20.0
 
 
 @lru_cache(maxsize=1)
@@ -192,12 +199,13 @@ def instant_text(us: Column) -> Column:
 def read_times(rows: DataFrame, id_col: str, text_col: str, place_col: str, ingested_col: str, places: DataFrame) -> DataFrame:
     """(id, place, ingested_us, declared, local_us, offset_s, stated_zone) of each row; nulls where unread.
 
-    ``places`` (place_col, zone_name, day_first) is a small dimension (checked: at most 10,000 rows); its zones go
-    with the function.
+    ``places`` (place_col, zone_name, day_first) is a small dimension (checked: at most ``MOST_PLACES`` rows); its zones go
+    with the function. Of repeated places the least row counts.
     """
-    listed = places.select(F.col(place_col).cast("string").alias("p"), "zone_name", "day_first").where("p IS NOT NULL").limit(10_001).collect()
-    if len(listed) > 10_000:
+    listed = places.select(F.col(place_col).cast("string").alias("p"), "zone_name", "day_first").where("p IS NOT NULL").limit(MOST_PLACES + 1).collect()
+    if len(listed) > MOST_PLACES:
         raise ValueError("the table of places is too large to send to every worker")
+    listed.sort(key=lambda r: (r["p"], r["zone_name"] or "", bool(r["day_first"])), reverse=True)
     table = {r["p"]: (r["day_first"], _zones().get((r["zone_name"] or "").lower())) for r in listed}
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -216,34 +224,121 @@ def read_times(rows: DataFrame, id_col: str, text_col: str, place_col: str, inge
     return spread(picked, "id").mapInPandas(run, f"id {kind}, place string, ingested_us bigint, declared string, local_us bigint, offset_s bigint, stated_zone string")
 
 
-def zone_scores(read: DataFrame, candidates: Sequence[str]) -> DataFrame:
-    """(place, declared, n, violations): per place and candidate zone, how many of the zone-less rows go against it.
+class History:
+    """An offset history: where wall-clock times change over (in seconds), the offsets between, the zones that have it."""
 
-    One aggregation with a column per candidate, combined before the shuffle; no row is repeated.
-    """
-    bare = read.where("local_us IS NOT NULL AND offset_s IS NULL AND stated_zone IS NULL")
-    against = []
-    for zone in candidates:
-        at = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local_us"), F.lit(zone)))
-        skipped = F.from_utc_timestamp(F.timestamp_micros(at), F.lit(zone)) != F.timestamp_micros("local_us")
-        against.append(F.struct(F.sum(F.when((F.col("ingested_us") < at) | skipped, 1).otherwise(0)).alias("bad"), F.sum(F.when((F.col("ingested_us") - at).between(0, NEAR_US), 1).otherwise(0)).alias("near"), F.lit(zone).alias("zone")))
-    return bare.groupBy("place").agg(F.max("declared").alias("declared"), F.count("*").alias("n"), F.array(*against).alias("violations"))
+    def __init__(self, changes: list[tuple[int, int, int]], first: int, zones: list[str]) -> None:
+        self.zones, self.offsets = zones, np.array([first, *(after for _, _, after in changes)], dtype=np.int64)
+        self.until = np.array([at + max(before, after) for at, before, after in changes], dtype=np.int64)
+        self.gaps = [(at + before, at + after) for at, before, after in changes if after > before]
+
+    def instants(self, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(seconds UTC of wall-clock seconds, which of them the history skips); of times that occur twice the first."""
+        skipped = np.zeros(len(local), dtype=bool)
+        for start, end in self.gaps:
+            skipped |= (local >= start) & (local < end)
+        return local - self.offsets[np.searchsorted(self.until, local, side="right")], skipped
 
 
-def choose_zones(scores: DataFrame) -> DataFrame:
-    """(place, declared, aligned_zone, zone, n, bad): the zone of least net violations by alignment alone, and the one used.
+def histories(start: int, end: int, preferred: Sequence[str] = ()) -> list[History]:
+    """Every different history of an IANA zone between two instants (seconds), ``preferred`` zones named first.
+
+    A zone is looked at every week, and a change is found to the second; one that is taken back within the week isn't seen.
+    """
+    week, found = 7 * 86_400, {}
+    points = [*range(max(start, 0) - week, min(end, 2**31) + 2 * week, week)]
+    names = sorted((z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "SystemV/", "posix/", "right/")) or z == "UTC"), key=lambda z: (z not in preferred, z))
+    for name in names:
+        info = ZoneInfo(name)
+
+        def offset(at: int, info: ZoneInfo = info) -> int:
+            return int(dt.datetime.fromtimestamp(at, info).utcoffset().total_seconds())
+
+        seen, changes = [offset(at) for at in points], []
+        for a, b, x, y in zip(points, points[1:], seen, seen[1:]):
+            if x != y:
+                low, high = a, b
+                while high - low > 1:
+                    middle = (low + high) // 2
+                    low, high = (middle, high) if offset(middle) == x else (low, middle)
+                changes.append((high, x, offset(high)))
+        found.setdefault((seen[0], tuple(changes)), []).append(name)
+    return [History(list(changes), first, zones) for (first, changes), zones in found.items()]
+
+
+def delay_class(seconds: np.ndarray) -> np.ndarray:
+    """Class of delays that aren't negative: quarters of an hour, then doublings of half a day."""
+    quarters = np.clip(seconds, 0, None) // QUARTER
+    doubled = QUARTERS + np.log2(np.maximum(quarters, QUARTERS) / QUARTERS).astype(np.int64)
+    return np.minimum(np.where(quarters < QUARTERS, quarters, doubled), QUARTERS + DOUBLINGS - 1)
+
+
+def delay_costs(counts: dict[int, int]) -> np.ndarray:
+    """Cost of each class of delay: minus the log of its density, from counts and an assumed shape (density 1 / delay)."""
+    width = np.array([1.0] * QUARTERS + [QUARTERS * 2.0**k for k in range(DOUBLINGS)])
+    middle = np.concatenate([np.arange(QUARTERS) + 0.5, QUARTERS * 1.5 * 2.0 ** np.arange(DOUBLINGS)])
+    assumed = width / middle
+    share = np.array([counts.get(k, 0) for k in range(len(width))]) + ASSUMED * assumed / assumed.sum()
+    costs = -np.log(share / share.sum() / width)
+    return costs - costs.min()
+
+
+def zone_costs(read: DataFrame, known: list[History], costs: np.ndarray) -> DataFrame:
+    """(place, declared, history, n, bad, cost): per place and history the zone-less rows, those that go against it, and the
+    cost of all. Each batch of rows is summed before the shuffle."""
+    bare = read.where("local_us IS NOT NULL AND offset_s IS NULL AND stated_zone IS NULL AND ingested_us IS NOT NULL AND place IS NOT NULL").select("place", "declared", "local_us", "ingested_us")
 
-    Net are the violations less the rows that were ingested within ``NEAR_US`` of their instant (without these, any
-    zone far enough east would do). A documented zone counts as evidence on every row, so it is the one used. Ties
-    go by violations, then by name (zones of one history can't be told apart).
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            codes, names = pd.factorize(frame["place"])
+            zones = frame.groupby("place", sort=False)["declared"].first().reindex(names)
+            local, ingested, out = frame["local_us"].to_numpy(dtype=np.int64) // _US, frame["ingested_us"].to_numpy(dtype=np.int64) // _US, []
+            n = np.bincount(codes, minlength=len(names))
+            for k, history in enumerate(known):
+                at, skipped = history.instants(local)
+                bad = skipped | (ingested < at)
+                cost = np.where(bad, VIOLATION, costs[delay_class(ingested - at)])
+                out.append(pd.DataFrame({"place": names, "declared": zones.to_numpy(), "history": k, "n": n, "bad": np.bincount(codes, weights=bad, minlength=len(names)).astype(np.int64), "cost": np.bincount(codes, weights=cost, minlength=len(names))}))
+            yield pd.concat(out)
+
+    summed = bare.mapInPandas(run, "place string, declared string, history int, n bigint, bad bigint, cost double")
+    return summed.groupBy("place", "history").agg(F.max("declared").alias("declared"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.round(F.sum("cost"), 3).alias("cost"))
+
+
+def choose_zones(read: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, declared, aligned_zone, zone, n, bad, margin): the zone of least cost by alignment alone, the one used, its
+    violations among n zone-less rows, and how much more the best other history costs than the documented one (or than the
+    best, where none is documented).
+
+    ``read`` should be cut, as it is read three times. Of zones of one history, which can't be told apart, the documented
+    one of the place stands, then one that any place is documented to use, then the first by name. A place of which no
+    zone-less row is ingested at a known time has its documented zone.
     """
-    ranked = F.array_sort(F.transform("violations", lambda v: F.struct((v["bad"] - v["near"]).alias("net"), v["bad"], v["zone"])))
-    known = F.filter("violations", lambda v: v["zone"] == F.col("declared"))
-    return scores.select(
-        "place", "declared", ranked[0]["zone"].alias("aligned_zone"),
-        F.coalesce(F.when(F.size(known) > 0, F.col("declared")), ranked[0]["zone"]).alias("zone"),
-        "n", F.coalesce(F.get(known, F.lit(0))["bad"], ranked[0]["bad"]).alias("bad"),
+    spark = read.sparkSession
+    bare = (F.col("local_us").isNotNull()) & F.col("offset_s").isNull() & F.col("stated_zone").isNull()
+    facts = read.where(bare).agg(F.min("local_us").alias("start"), F.max("local_us").alias("end"), F.countDistinct("place").alias("places")).first()
+    if facts["places"] > MOST_PLACES:
+        raise ValueError("rows name more places than can be sent to every task")
+    seconds = F.floor((F.col("ingested_us") - (F.col("local_us") - F.col("offset_s") * _US)) / _US)
+    quarters = F.floor(seconds / QUARTER)
+    klass = F.when(quarters < QUARTERS, quarters).otherwise(F.least(F.lit(QUARTERS + DOUBLINGS - 1), F.lit(QUARTERS) + F.floor(F.log2(quarters / QUARTERS))))
+    delays = read.where("local_us IS NOT NULL AND offset_s IS NOT NULL AND ingested_us IS NOT NULL").where(seconds >= 0).groupBy(klass.cast("int").alias("k")).agg(F.count("*").alias("n"))
+    costs = delay_costs({r["k"]: r["n"] for r in delays.collect()})
+    documented = sorted({z for r in places.select("zone_name").distinct().limit(MOST_PLACES).collect() if (z := _zones().get((r["zone_name"] or "").lower()))})
+    known = histories(facts["start"] // _US, facts["end"] // _US, documented) if facts["start"] is not None else []
+    scores = zone_costs(read, known, costs)
+    named = F.broadcast(spark.createDataFrame([(k, h.zones) for k, h in enumerate(known)], "history int, zones array<string>"))  # at most one per IANA zone
+    own = F.array_contains("zones", F.col("declared"))
+    held = scores.join(named, "history").withColumn("own", F.coalesce(own, F.lit(False))).withColumn("name", F.when(F.col("own"), F.col("declared")).otherwise(F.col("zones")[0]))
+    entry = lambda cost: F.struct(cost.alias("cost"), (~F.col("own")).alias("other"), "name", "bad")
+    picked = held.groupBy("place").agg(
+        F.max("declared").alias("declared"), F.max("n").alias("n"), F.min(entry(F.col("cost"))).alias("aligned"), F.min(entry(F.when(F.col("own"), F.col("cost") - DOCUMENTED).otherwise(F.col("cost")))).alias("used"),
+        F.min(F.when(F.col("own"), F.col("cost"))).alias("own_cost"), F.min(F.when(~F.col("own"), F.col("cost"))).alias("other_cost"), F.sort_array(F.collect_list("cost")).alias("all"),
     )
+    margin = F.round(F.when(F.col("own_cost").isNotNull(), F.col("other_cost") - F.col("own_cost")).otherwise(F.get(F.col("all"), F.lit(1)) - F.get(F.col("all"), F.lit(0))), 3)
+    return picked.select("place", "declared", F.col("aligned.name").alias("aligned_zone"), F.col("used.name").alias("zone"), "n", F.col("used.bad").alias("bad"), margin.alias("margin"))
 
 
 def normalise_timestamps(rows: DataFrame, places: DataFrame, id_col: str, text_col: str, place_col: str, ingested_col: str) -> tuple[DataFrame, DataFrame]:
@@ -251,13 +346,12 @@ def normalise_timestamps(rows: DataFrame, places: DataFrame, id_col: str, text_c
 
     Null, blank and unreadable texts, texts without a time of day and impossible or ambiguous times give no row;
     rows that repeat an id with the same instant give one. A place that isn't in ``places`` gets an estimated
-    zone, and its ambiguous numeric dates aren't read.
+    zone, and its ambiguous numeric dates aren't read; rows without a place and a zone have no instant.
     """
-    read = read_times(rows, id_col, text_col, place_col, ingested_col, places)
-    zones = sorted({z for r in places.select("zone_name").distinct().take(1000) if (z := _zones().get((r["zone_name"] or "").lower()))} | {"UTC"})
-    chosen = choose_zones(zone_scores(read, zones))
-    small = F.broadcast(chosen.select("place", "zone"))  # a row per place: bounded by the checked dimension and the places that rows name
+    read = cut(read_times(rows, id_col, text_col, place_col, ingested_col, places))
+    chosen = choose_zones(read, places)
+    small = F.broadcast(chosen.select("place", "zone"))  # at most MOST_PLACES rows: checked
     placed = read.where("local_us IS NOT NULL").join(small, "place", "left")
-    at = F.when(F.col("offset_s").isNotNull(), F.col("local_us") - F.col("offset_s") * _US).otherwise(to_instant(F.col("local_us"), F.coalesce("stated_zone", "zone")))
+    at = F.when(F.col("offset_s").isNotNull(), F.col("local_us") - F.col("offset_s") * _US).otherwise(to_instant(F.col("local_us"), F.coalesce("stated_zone", "zone", "declared")))
     found = placed.select(F.col("id").alias(id_col), at.alias("us")).where("us IS NOT NULL")
     return found.select(id_col, instant_text(F.col("us")).alias("instant_utc")).distinct(), chosen

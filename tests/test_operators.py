@@ -150,6 +150,37 @@ def test_missing_zone_is_estimated(spark):
     assert zones.first()["zone"] == "America/New_York" and found.count() == 20
 
 
+def test_histories_and_costs():
+    year = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp()
+    known = timestamps.histories(int(year), int(year) + 300 * 86_400, ["Europe/Rome"])
+    rome = next(h for h in known if "Europe/Rome" in h.zones)
+    assert rome.zones[0] == "Europe/Rome" and "Europe/Paris" in rome.zones and "Europe/London" not in rome.zones
+    rng = np.random.default_rng(0)
+    for h in known:
+        local = rng.integers(int(year), int(year) + 300 * 86_400, 200)
+        at, skipped = h.instants(local)
+        for wall, got, gap in zip(local.tolist(), at.tolist(), skipped.tolist()):
+            there = dt.datetime.fromtimestamp(got, timestamps.ZoneInfo(h.zones[0]))
+            assert gap or there.replace(tzinfo=dt.timezone.utc).timestamp() == wall
+    costs = timestamps.delay_costs({k: 100 for k in range(40)})
+    assert costs[:40].max() < 1 < costs[60] and timestamps.delay_class(np.array([0, 899, 900, 43_200, 10**9])).tolist() == [0, 0, 1, 48, 61]
+
+
+def test_documented_zone_is_outweighed_by_many_rows(spark):
+    start = dt.datetime(2024, 5, 1, 12)
+    rows = [(k, (start + dt.timedelta(hours=5 * k)).strftime("%Y-%m-%d %H:%M:%S"), "x", start + dt.timedelta(hours=5 * k, minutes=k % 50) - dt.timedelta(hours=9)) for k in range(60)]
+    df = spark.createDataFrame([*rows, (None, None, None, None), (900, "2024-05-05 10:00", None, start), (901, "2024-05-05 10:00", "y", None)], "i int, t string, place string, at timestamp_ntz")
+    places = spark.createDataFrame([("x", "Europe/Rome", True), ("x", "Europe/Rome", True), ("y", "Europe/Rome", True), (None, "Europe/Rome", True)], "place string, zone_name string, day_first boolean")
+    found, zones = timestamps.normalise_timestamps(df, places, "i", "t", "place", "at")
+    got = {r["place"]: r for r in zones.collect()}
+    assert got["x"]["declared"] == "Europe/Rome" and got["x"]["zone"] == "Asia/Tokyo" or timestamps.ZoneInfo(got["x"]["zone"]).utcoffset(start) == dt.timedelta(hours=9)
+    instants = {r["i"]: r["instant_utc"] for r in found.collect()}
+    assert instants[0] == "2024-05-01T03:00:00Z" and instants[901] == "2024-05-05T08:00:00Z" and 900 not in instants
+    few, zones = timestamps.normalise_timestamps(df.where("i < 1"), places, "i", "t", "place", "at")
+    assert zones.first()["zone"] == "Europe/Rome"  # one violation doesn't
+    assert timestamps.normalise_timestamps(df.where("false"), places, "i", "t", "place", "at")[0].count() == 0
+
+
 LONG = 'Eine "lange" Zeile \\ mit {Klammern},\n\u2028\u0085 ```und``` שורה שנייה; ' * 300 + "end"
 
 
