@@ -48,6 +48,8 @@ AGAIN = -2.5
 MARGIN = 2.0
 #: A pair is taken to have touched a text if its restored spans gain this much together.
 STRONG = 12.0
+#: Texts that a worker repairs together.
+TOGETHER = 128
 LOSS = "�"
 #: Encodings of two bytes a character, whose spans must begin at a character.
 WIDE = ("gbk", "big5")
@@ -249,6 +251,20 @@ def _least(c: str) -> float:
     return 1e-5 if c.isalpha() and ord(c) < 0x250 else 3e-6
 
 
+def _utf8_pairs(span: str) -> list[int]:
+    """The pairs of UTF-8 in which the first two neighbours beyond ASCII can begin a character."""
+    beside = _ADJACENT.search(span)
+    if not beside:
+        return []
+    a, b = beside[0]
+    out = []
+    for k in _UTF8:
+        name = PAIRS[k - 1][0].split(">")[-1]
+        if name == "gbk" or 0xC2 <= _bytes_of(name).get(a, 0) <= 0xF4 and 0x80 <= _bytes_of(name).get(b, 0) < 0xC0:
+            out.append(k)
+    return out
+
+
 def _script(c: str) -> int:
     """0 for what is no letter, else one number per script that words don't mix."""
     code = ord(c) if c and c.isalpha() else 0
@@ -326,7 +342,7 @@ class Model:
         both = plain[firsts] & plain[seconds]
         self.log_bi[both] = self.log_bi[both, :1]
         self.plain = plain
-        self.gains = None
+        self.gains = self.clean = None
 
     def _tabulate(self) -> None:
         """Bound on the gain of a state over the clean one by pair of characters, a table for each group of states: pairs
@@ -389,24 +405,28 @@ class Model:
                     add(wa[-1] + wb, 1, n / 2 if lossy else n)
         return out
 
-    def emissions(self, codes: np.ndarray) -> np.ndarray:
-        """Log probability of each character but the first, given the one before, in each state."""
+    def emissions(self, codes: np.ndarray, states: list[int] | None = None) -> np.ndarray:
+        """Log probability of each character but the first, given the one before, in each state (or in ``states``)."""
         ids = self.code[codes].astype(np.int64)
         a, b = ids[:-1], ids[1:]
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         seen = self.keys[at] == key
-        out = self.log_back[a] + self.log_uni[b]
-        out[seen] = self.log_bi[at[seen]]
+        if states is None:
+            out = self.log_back[a] + self.log_uni[b]
+            out[seen] = self.log_bi[at[seen]]
+        else:
+            out = self.log_back[a[:, None], states] + self.log_uni[b[:, None], states]
+            out[seen] = self.log_bi[at[seen][:, None], states]
         same = ~seen & self.plain[a] & self.plain[b]
         out[same] = out[same, :1]
         return out
 
     def suspects(self, lines: list[str]) -> list[int]:
         """Which lines could leave the clean state: those whose best gains together exceed the cost of entering."""
-        self._tabulate()
         if not lines:
             return []
+        self._tabulate()
         codes = np.frombuffer(("\n" + "\n".join(lines)).encode("utf-32-le", "replace"), dtype=np.uint32)
         ids = self.slot[self.code[codes]]
         starts = np.cumsum([0, *[len(line) + 1 for line in lines[:-1]]])
@@ -434,66 +454,98 @@ class Model:
                 start, script = k, here
         return out
 
-    def clean_score(self, line: str) -> float:
-        ids = self.code[np.frombuffer(("\n" + line).encode("utf-32-le", "replace"), dtype=np.uint32)].astype(np.int64)
-        a, b = ids[:-1], ids[1:]
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return float(np.where(self.keys[at] == key, self.log_bi[at, 0], self.log_back[a, 0] + self.log_uni[b, 0]).sum())
-
-    def label(self, line: str, known: frozenset[int] = frozenset()) -> list[int]:
-        """State of each character of a line, 0 for clean; ``known`` states are easier to enter."""
-        codes = np.frombuffer(("\n" + line).encode("utf-32-le", "replace"), dtype=np.uint32)
-        emit = self.emissions(codes)
-        # a state is worth entering only if some run of characters gains more in it than entering costs
-        over = np.zeros((len(emit) + 1, emit.shape[1]), dtype=np.float32)
-        np.cumsum(emit - emit[:, :1], axis=0, out=over[1:])
-        gain = (over - np.minimum.accumulate(over, axis=0)).max(axis=0)
-        states = [0, *(int(s) for s in range(1, emit.shape[1]) if gain[s] > (-AGAIN if s in known else -ENTER))]
-        if len(states) == 1:
-            return [0] * len(line)
-        emit = emit[:, states].astype(np.float64)
-        # where all states emit alike, staying is best: only the other characters are steps
-        steps = np.flatnonzero((emit != emit[:, :1]).any(axis=1))
-        part = emit[steps]
-        enter = [0.0, *(AGAIN if s in known else ENTER for s in states[1:])]
-        leave = [0.0, *[LEAVE] * (len(states) - 1)]
-        own = range(len(states))
-        rows = part.tolist()
-        value = [e + r for e, r in zip(enter, rows[0])]
-        came: list[list[int]] = [[]]
-        for row in rows[1:]:
-            out = [v + c for v, c in zip(value, leave)]
-            top = max(out)
-            source = out.index(top)
-            back, fresh = [], []
-            for s in own:
-                move, stay = top + enter[s], value[s]
-                if move > stay:
-                    back.append(source)
-                    fresh.append(move + row[s])
-                else:
-                    back.append(s)
-                    fresh.append(stay + row[s])
-            came.append(back)
-            value = fresh
-        at, path = value.index(max(value)), []
-        for back in reversed(came[1:]):
-            path.append(at)
-            at = back[at]
-        path.append(at)
-        path.reverse()
-        labels = np.zeros(len(line), dtype=np.int64)
-        labels[steps] = [states[s] for s in path]
-        return labels.tolist()
-
-    def repair(self, line: str, known: frozenset[int] = frozenset()) -> tuple[str, dict[int, float]] | None:
-        """The restored line and what each state that restored it gains, or None if it is clean.
+    def clean_score(self, text: str) -> float:
+        """Log probability of a text in the clean state, as after a line feed. Spans are short, so a table in Python is faster."""
+        if self.clean is None:
+            chars = ["\0"] * self.size
+            for code in np.flatnonzero(self.code):
+                chars[self.code[code]] = chr(code)
+            pairs = {chars[a] + chars[b]: v for a, b, v in zip((self.keys // self.size).tolist(), (self.keys % self.size).tolist(), self.log_bi[:, 0].tolist())}
+            self.clean = pairs, dict(zip(chars, self.log_back[:, 0].tolist())), dict(zip(chars, self.log_uni[:, 0].tolist()))
+        pairs, back, uni = self.clean
+        total, before, no_back, no_uni = 0.0, "\n", back["\0"], uni["\0"]
+        for c in text:
+            value = pairs.get(before + c)
+            total += back.get(before, no_back) + uni.get(c, no_uni) if value is None else value
+            before = c
+        return total
+
+    def label(self, lines: list[str], known: list[frozenset[int]], only_known: list[bool]) -> list[list[int] | None]:
+        """State of each character of each line, 0 for clean; None for lines that are clean as a whole.
+
+        A line's ``known`` states are easier to enter. ``only_known``: no other state can be worth entering, as
+        :meth:`suspects` shows. Lines of like length go through Viterbi together.
+        """
+        out: list[list[int] | None] = [None] * len(lines)
+        jobs = []
+        for i, line in enumerate(lines):
+            codes = np.frombuffer(("\n" + line).encode("utf-32-le", "replace"), dtype=np.uint32)
+            columns = [0, *sorted(known[i])] if only_known[i] else range(len(PAIRS) + 1)
+            emit = self.emissions(codes, columns if only_known[i] else None)
+            # a state is worth entering only if some run of characters gains more in it than entering costs
+            least = np.array([np.inf, *(-AGAIN if s in known[i] else -ENTER for s in columns[1:])])
+            gains = emit - emit[:, :1]
+            able = np.flatnonzero(np.maximum(gains, 0).sum(axis=0) > least)
+            over = np.zeros((len(emit) + 1, len(able)), dtype=np.float32)
+            np.cumsum(gains[:, able], axis=0, out=over[1:])
+            best = (over - np.minimum.accumulate(over, axis=0)).max(axis=0, initial=0)
+            places = [0, *able[best > least[able]].tolist()]
+            if len(places) > 1:
+                emit = emit[:, places].astype(np.float64)
+                # where all states emit alike, staying is best: only the other characters are steps
+                steps = np.flatnonzero((emit != emit[:, :1]).any(axis=1))
+                jobs.append((len(steps), i, [columns[k] for k in places], steps, emit[steps]))
+        jobs.sort(key=lambda job: job[:2])
+        while jobs:
+            size, most, states = 0, 0, 0
+            for n, _, ids, _, _ in jobs:  # as many as fit into about 2 million values
+                most, states = max(most, n), max(states, len(ids))
+                if size and (size + 1) * most * states > 2_000_000:
+                    break
+                size += 1
+            for (_, i, ids, steps, _), path in zip(jobs[:size], self._paths(jobs[:size], known)):
+                labels = np.zeros(len(lines[i]), dtype=np.int64)
+                labels[steps] = np.array(ids)[path]
+                out[i] = labels.tolist() if labels.any() else None
+            jobs = jobs[size:]
+        return out
+
+    @staticmethod
+    def _paths(jobs: list[tuple], known: list[frozenset[int]]) -> list[np.ndarray]:
+        """Viterbi's best path of each job (steps, line, states, places, emissions), shorter ones first."""
+        count, longest, width = len(jobs), jobs[-1][0], max(len(job[2]) for job in jobs)
+        emit = np.full((longest, count, width), -1e30)
+        enter, leave = np.full((count, width), -1e30), np.zeros((count, width))
+        for j, (n, i, states, _, part) in enumerate(jobs):
+            emit[:n, j, : len(states)] = part
+            enter[j, : len(states)] = [0.0, *(AGAIN if s in known[i] else ENTER for s in states[1:])]
+        leave[:, 1:] = LEAVE
+        begins = np.searchsorted([job[0] for job in jobs], np.arange(longest), side="right")  # the first job that has a step
+        moved, sources = np.zeros((longest, count, width), dtype=bool), np.zeros((longest, count), dtype=np.int64)
+        value = enter + emit[0]
+        rows = np.arange(count)
+        for t in range(1, longest):
+            k = begins[t]
+            out = value[k:] + leave[k:]
+            sources[t, k:] = source = out.argmax(axis=1)
+            move = enter[k:] + out[rows[: count - k], source][:, None]
+            np.greater(move, value[k:], out=moved[t, k:])
+            value[k:] = np.maximum(move, value[k:]) + emit[t, k:]
+        at = value.argmax(axis=1)
+        paths = np.zeros((longest, count), dtype=np.int64)
+        for t in range(longest - 1, 0, -1):
+            k = begins[t]
+            paths[t, k:] = at[k:]
+            at[k:] = np.where(moved[t, rows[k:], at[k:]], sources[t, k:], at[k:])
+        paths[0] = at
+        return [paths[: job[0], j] for j, job in enumerate(jobs)]
+
+    def repair(self, line: str, labels: list[int] | None) -> tuple[str, dict[int, float]] | None:
+        """The restored line and what each state that restored it gains, or None if it is clean, by the states of its characters.
 
         Characters lost in decoding stay replacement characters.
         """
-        labels = self.label(line, known)
-        if not any(labels):
+        if labels is None:
             return None
         for s in {x for x in labels if x and PAIRS[x - 1][1] in WIDE}:  # whole runs, as characters have two bytes
             for run in re.finditer(r"[^\x00-\x7f]+", line):
@@ -512,7 +564,7 @@ class Model:
                     better = span
                 elif better is None or PAIRS[state - 1][1] != "utf-8" or LOSS in better:
                     # a span that another pair reads as UTF-8 without loss hardly came about otherwise
-                    exact = [(self.clean_score(x), x, k) for k in _UTF8 if (x := restore(span, *PAIRS[k - 1])) is not None and LOSS not in x and len(x) < len(span)] if _ADJACENT.search(span) else []
+                    exact = [(self.clean_score(x), x, k) for k in _utf8_pairs(span) if (x := restore(span, *PAIRS[k - 1])) is not None and LOSS not in x and len(x) < len(span)]
                     if exact and (better is None or LOSS in better or max(exact)[0] + STRONG > self.clean_score(better)):
                         (_, better, state), whole = max(exact), True
                     elif 2 * sum(other[i - len(span) : i]) > sum(map(str.isalpha, span)):
@@ -533,25 +585,29 @@ class Model:
             out.append(span)
         return ("".join(out), used) if used else None
 
-    def repair_text(self, text: str) -> dict[int, str]:
-        """Restored lines of a text by their place, from 0. States that restore some line are easier to enter in others."""
-        lines = text.split("\n")
-        places = [k for k, line in enumerate(lines) if not line.isascii()]
-        first: dict[int, tuple[str, dict[int, float]]] = {}
-        gains: dict[int, float] = {}
-        for k in self.suspects([lines[k] for k in places]):
-            if got := self.repair(lines[places[k]]):
-                first[places[k]] = got
+    def repair_texts(self, texts: list[str | None]) -> list[dict[int, str]]:
+        """Restored lines of each text by their place, from 0. States that restore some line are easier to enter in others."""
+        lines = [text.split("\n") if text and not text.isascii() else [] for text in texts]
+        places = [(i, k) for i, of_text in enumerate(lines) for k, line in enumerate(of_text) if not line.isascii()]
+        doubtful = [places[at] for at in self.suspects([lines[i][k] for i, k in places])]
+        first: list[dict[int, tuple[str, dict[int, float]]]] = [{} for _ in texts]
+        gains: list[dict[int, float]] = [{} for _ in texts]
+        for (i, k), labels in zip(doubtful, self.label([lines[i][k] for i, k in doubtful], [frozenset()] * len(doubtful), [False] * len(doubtful))):
+            if got := self.repair(lines[i][k], labels):
+                first[i][k] = got
                 for state, gain in got[1].items():
-                    gains[state] = gains.get(state, 0.0) + gain
-        known = frozenset(state for state, gain in gains.items() if gain >= STRONG)
-        done = {k: better for k, (better, used) in first.items() if known & used.keys()}
-        if known:
-            for k in places:
-                if k not in done and (got := self.repair(lines[k], known)) and known & got[1].keys():
-                    done[k] = got[0]
+                    gains[i][state] = gains[i].get(state, 0.0) + gain
+        known = [frozenset(state for state, gain in of_text.items() if gain >= STRONG) for of_text in gains]
+        done = [{k: better for k, (better, used) in first[i].items() if known[i] & used.keys()} for i in range(len(texts))]
+        again, seen = [(i, k) for i, k in places if known[i] and k not in done[i]], set(doubtful)
+        for (i, k), labels in zip(again, self.label([lines[i][k] for i, k in again], [known[i] for i, _ in again], [at not in seen for at in again])):
+            if (got := self.repair(lines[i][k], labels)) and known[i] & got[1].keys():
+                done[i][k] = got[0]
         return done
 
+    def repair_text(self, text: str) -> dict[int, str]:
+        return self.repair_texts([text])[0]
+
 
 def fit(files: DataFrame, text_col: str = "markdown") -> list[tuple[int, int]]:
     """Counts of the bigrams of all trustworthy lines that make up ``LEAST_SHARE`` of their script's, in order."""
@@ -575,15 +631,15 @@ def repaired_lines(files: DataFrame, id_col: str = "file_id", text_col: str = "m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            ids, found = batch.column(0), ([], [], [], [])
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if not text or text.isascii():
-                    continue
-                lines = text.split("\n")
-                for k, better in sorted(model.repair_text(text).items()):
-                    for column, value in zip(found, (row, k + 1, lines[k], better)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], pa.string()), pa.array(found[3], pa.string())], names=["id", "line_no", "line", "restored"])
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                texts, found = part.column(1).to_pylist(), ([], [], [], [])
+                for row, repaired in enumerate(model.repair_texts(texts)):
+                    lines = texts[row].split("\n") if repaired else []
+                    for k, better in sorted(repaired.items()):
+                        for column, value in zip(found, (row, k + 1, lines[k], better)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0], pa.int64())), pa.array(found[1], pa.int64()), pa.array(found[2], pa.string()), pa.array(found[3], pa.string())], names=["id", "line_no", "line", "restored"])
 
     return picked.mapInArrow(run, f"id {kind}, line_no bigint, line string, restored string").withColumnRenamed("id", id_col)
 
@@ -597,11 +653,12 @@ def restored_texts(files: DataFrame, id_col: str = "file_id", text_col: str = "m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = []
-            for text in batch.column(1).to_pylist():
-                if text and not text.isascii() and (better := model.repair_text(text)):
-                    text = "\n".join(better.get(k, line) for k, line in enumerate(text.split("\n")))
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "body"])
+            for start in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(start, TOGETHER)
+                texts = part.column(1).to_pylist()
+                for row, better in enumerate(model.repair_texts(texts)):
+                    if better:
+                        texts[row] = "\n".join(better.get(k, line) for k, line in enumerate(texts[row].split("\n")))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["id", "body"])
 
     return picked.mapInArrow(run, f"id {kind}, body string").withColumnRenamed("id", id_col).withColumnRenamed("body", text_col)
