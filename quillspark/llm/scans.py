@@ -88,10 +88,14 @@ def skeleton(word: str) -> str:
     return form
 
 
-def explained(noise: str, true: str, most: int = 3) -> list[int] | None:
-    """Places in ``noise`` where confusions (at most ``most``) turned ``true`` into it; None if they can't have."""
+def explained(noise: str, true: str) -> list[int] | None:
+    """Places in ``noise`` where confusions turned ``true`` into it, as few as may be; None if they can't have.
+
+    At most half of its glyphs, or three, may be confused: a word with more has too little left to tell it by.
+    """
     best: dict[tuple[int, int], tuple[int, list[int]]] = {(0, 0): (0, [])}
     n, m = len(noise), len(true)
+    most = max(3, n // 2)
     if abs(n - m) > most:
         return None
     for i in range(n + 1):
@@ -144,6 +148,19 @@ class Lexicon:
         for word in forms:
             self.shapes[len(word)].append(word)
         self.known = lru_cache(maxsize=100_000)(self._correct)
+        self.masked: dict[tuple[int, tuple[int, ...]], dict[str, list[str]]] = {}
+
+    def _alike(self, length: int, places: tuple[int, ...]) -> dict[str, list[str]]:
+        """The forms of a length by what is left of them without the letters at ``places``."""
+        got = self.masked.get((length, places))
+        if got is None:
+            if len(self.masked) >= 512:
+                self.masked.clear()
+            got = self.masked[length, places] = defaultdict(list)
+            for o in self.shapes.get(length, ()):
+                if all(o[i].isalnum() or o[i] == "_" for i in places):
+                    got["".join(c for i, c in enumerate(o) if i not in places)].append(o)
+        return got
 
     def _correct(self, word: str) -> tuple[tuple[str, tuple[int, ...]], ...]:
         """Known forms that confusions turn into ``word`` (lower case), the most frequent first, with the places."""
@@ -161,8 +178,8 @@ class Lexicon:
             if bare != word and bare in self.words:
                 found.append((bare, tuple(i for i, c in enumerate(word) if not c.isalnum())))
             else:
-                pattern = re.compile("".join("\\w" if not c.isalnum() and c not in "'’-" else re.escape(c) for c in word) + r"\Z")
-                found = [(o, tuple(i for i, c in enumerate(word) if c != o[i])) for o in self.shapes.get(len(word), ()) if pattern.match(o)]
+                places = tuple(i for i, c in enumerate(word) if not c.isalnum() and c not in "'’-")
+                found = [(o, tuple(i for i, c in enumerate(word) if c != o[i])) for o in self._alike(len(word), places).get("".join(c for i, c in enumerate(word) if i not in places), ())]
         return tuple(sorted(set(found), key=lambda f: (len(f[1]), -self.words[f[0]])))
 
     def correct(self, token: str, before: str = "") -> tuple[str, list[int]] | None:
@@ -232,7 +249,7 @@ _PAGE = re.compile(rf"\W*(?:{PAGE_WORDS})\W{{0,2}}\s*[\dlIO|oS]{{1,4}}(?:\s*(?:{
 
 def is_page_number(line: str) -> bool:
     text = line.strip()
-    if not text or len(text) > 24:
+    if not text:
         return False
     if _PAGE.fullmatch(text) and re.search(r"[\dlIO|]", text):
         return True
@@ -304,8 +321,9 @@ def furniture(lines: list[str], width: int, lexicon: Lexicon) -> set[int]:
     titles = {k: header_key(lines[k]) for k in at if title(k)}
     # noise can make a copy of a header look like no title, yet it counts
     keys = Counter(titles.values())
-    if titles:
-        keys.update(header_key(lines[k]) for k in at if k not in titles)
+    if titles:  # a key's first glyphs show in a line's first ones, whatever groups they make
+        heads = {key[:3] for key in titles.values()}
+        keys.update(header_key(lines[k]) for k in at if k not in titles and header_key(lines[k].strip()[:24])[:3] in heads)
     out = set(sure)
     place = {k: i for i, k in enumerate(at)}
     for k in at:

@@ -323,6 +323,9 @@ def test_noisy_copy_of_a_header_counts():
 
 def test_confusions():
     assert scans.explained("insu1ation", "insulation") == [4] and scans.explained("modem", "modern") is not None and scans.explained("abc", "xyz") is None
+    assert scans.explained("c0n7rac7ua1", "contractual") == [1, 3, 7, 10] and scans.explained("1nternat|0na1", "international") == [0, 8, 9, 12]
+    assert scans.Lexicon({"contractual": 9, "international": 9}).correct("1nternat|0na1,")[0] == "international"
+    assert scans.Lexicon({"regional": 9, "original": 9}).correct("reg■onal")[0] == "regional" and scans.is_page_number("pag. " + " " * 30 + "12")
     assert scans.skeleton("arrenclatario") == scans.skeleton("arrendatario")
 
 
