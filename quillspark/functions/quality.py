@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import words
+from quillspark.functions.text import strip, words
 
 # Thresholds of the gates.
 LEAST_WORDS, LEAST_UNIQUE, LONGEST_RUN, PREFIX = 40, 0.3, 5, 3
@@ -17,9 +17,9 @@ OCR_SUFFIXES = (".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp")
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tif", ".tiff", ".webp")
 
 
-def unique_ratio(text: Column) -> Column:
-    """Different words / words; null without words."""
-    w = words(text)
+def unique_ratio(text: Column, words_of: Column | None = None) -> Column:
+    """Different words / words; null without words. ``words_of``: the words, where a column has them already."""
+    w = words(text) if words_of is None else words_of
     return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
 
 
@@ -35,10 +35,10 @@ def prefix_run(text: Column) -> Column:
     return F.aggregate(heads, start, step, lambda s: s["best"])
 
 
-def is_degenerate(text: Column) -> Column:
+def is_degenerate(text: Column, words_of: Column | None = None, run: Column | None = None) -> Column:
     """At least 40 words, and few different ones or a long run of like beginnings."""
-    enough = F.size(words(text)) >= LEAST_WORDS
-    return F.coalesce(F.when(~enough, False).otherwise((unique_ratio(text) < LEAST_UNIQUE) | (prefix_run(text) >= LONGEST_RUN)), F.lit(False))
+    w, run = words(text) if words_of is None else words_of, prefix_run(text) if run is None else run
+    return F.coalesce(F.when(F.size(w) < LEAST_WORDS, False).otherwise((unique_ratio(text, w) < LEAST_UNIQUE) | (run >= LONGEST_RUN)), F.lit(False))
 
 
 def _share(text: Column, block: str) -> Column:
@@ -56,6 +56,23 @@ def is_rtl(text: Column) -> Column:
     return F.coalesce(_share(text, r"\x{0590}-\x{06FF}") >= RTL_SHARE, F.lit(False))
 
 
+def first_pages(pages: Column, most: int = 5) -> Column:
+    """The first pages of an array, one after another without a separator: what a script is told by."""
+    return F.array_join(F.slice(pages, 1, most), "")
+
+
+def native_pages(pages: Column, is_hebrew: Column) -> Column:
+    """S3: the text layer of a document's pages, joined by blank lines and stripped; null where it can't stand instead of
+    character recognition."""
+    text = strip(F.array_join(pages, "\n\n"))
+    return F.when(native_text_serves(text, is_hebrew), text)
+
+
+def hebrew_from_language(name: Column) -> Column:
+    """Whether the chosen source language asks for Hebrew character recognition."""
+    return F.coalesce(F.lower(F.trim(name)) == "hebrew", F.lit(False))
+
+
 def takes_ocr(suffix: Column) -> Column:
     """P1."""
     return suffix.isin(*OCR_SUFFIXES)

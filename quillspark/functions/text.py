@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,8 +19,9 @@ OCR_MATTER = r"\x{FFFC}\x{FFFD}\x{E000}-\x{F8FF}"
 SENTENCE_START = r"A-Z0-9\x{00C0}-\x{024F}\x{0400}-\x{04FF}\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{4E00}-\x{9FFF}"
 # How legal citations read in Hebrew and English.
 CITATION = (
-    r"(?iu)סעיף[\s]*\d+|תקנה[\s]*\d+|חוק[\s]+\S+|פסק[\s]*דין|בג\"?ץ|ע\"?א[\s]*\d+"
-    r"|\bsection[\s]+\d+|\bregulation[\s]+\d+|\barticle[\s]+\d+|\blaw[\s]*(?:\(|,)?[\s]*(?:19|20|5[6-9])\d{2}\b|\bhcj\b|\bbasic[\s]+law\b"
+    r"(?iu)(סעיף\s*\d+|תקנה\s*\d+|חוק\s+\S+|פסק\s*דין|בג\"?ץ|ע\"?א\s*\d+|"
+    r"\bsection\s+\d+|\bregulation\s+\d+|\barticle\s+\d+|\blaw\s*(\(|,)?\s*(19|20|5[6-9])\d{2}\b|"
+    r"\bhcj\b|\bbasic\s+law\b)"
 )
 # A request names a presentation and a verb of making.
 SLIDES_NOUN = r"(?i)\b(power ?point|pptx|slide ?deck|slides?|presentation)\b"
@@ -86,21 +89,61 @@ def hard_split(unit: Column, most: int) -> Column:
 def chunks(text: Column, most: int = 400) -> Column:
     """Paragraphs (split at blank lines), long ones by sentence and word, packed to at most ``most`` characters.
 
-    Inside a chunk the pieces are joined by single spaces. Blank texts have none; null stays null.
+    Inside a chunk the pieces are joined by single spaces. Blank texts have none; null stays null. One Arrow function: a
+    fold in built-in functions is interpreted piece by piece, and copies what it has at each chunk.
     """
-    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(sentences(p))))
-    pieces = F.flatten(F.transform(units, lambda u: hard_split(u, most)))
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-
-    def add(state: Column, piece: Column) -> Column:
-        full = (state["now"] != "") & (F.length(state["now"]) + F.length(piece) > most)
-        fresh = F.concat(piece, F.lit(" "))
-        return F.when(full, F.struct(F.concat(state["done"], F.array(strip(state["now"]))).alias("done"), fresh.alias("now"))).otherwise(
-            F.struct(state["done"].alias("done"), F.concat(state["now"], fresh).alias("now"))
-        )
 
-    return F.aggregate(pieces, empty, add, lambda s: F.when(strip(s["now"]) == "", s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["now"])))))
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunk_text(t, most), na_action="ignore")
+
+    return run(text)
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[str, re.Pattern, re.Pattern]:
+    plain = lambda c: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), c)
+    space, start = plain(SPACE), plain(SENTENCE_START)
+    stripped = "".join(chr(c) for c in range(0x10000) if re.match(f"[{space}]", chr(c)))
+    return stripped, re.compile(f"[{space}]+"), re.compile(f"(?<=[.!?])[{space}]+(?=[{start}])")
+
+
+def chunk_text(text: str, most: int) -> list[str]:
+    """The chunks of one text, in time that grows with its length alone."""
+    space, gap, boundary = _patterns()
+    out: list[str] = []
+    now: list[str] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal now, size
+        if done := " ".join(now).strip(space):
+            out.append(done)
+        now, size = [], 0
+
+    for paragraph in (p.strip(space) for p in text.split("\n\n")):
+        units = [] if not paragraph else [paragraph] if len(paragraph) <= most else [u for x in boundary.split(paragraph) if (u := x.strip(space))]
+        for unit in units:
+            for piece in [unit] if len(unit) <= most else packed([w for w in gap.split(unit) if w], most):
+                if now and size + len(piece) > most:
+                    flush()
+                now.append(piece)
+                size += len(piece) + 1
+    flush()
+    return out
+
+
+def packed(words: list[str], most: int) -> list[str]:
+    """Words joined by spaces to lines of at most ``most`` characters; a longer word is a line of its own."""
+    lines: list[list[str]] = []
+    size = most + 1
+    for word in words:
+        if size + 1 + len(word) > most:
+            lines.append([])
+            size = -1
+        lines[-1].append(word)
+        size += 1 + len(word)
+    return [" ".join(line) for line in lines]
 
 
 def anchor_lines(text: Column) -> Column:
@@ -169,6 +212,11 @@ def in_domain(url: Column, domain: str) -> Column:
     return (host == domain) | host.endswith("." + domain)
 
 
+def data_uri(content: Column, kind: str = "application/pdf") -> Column:
+    """Binary content as an address; the line breaks that the built-in sets every 76 characters are taken out."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(content), "[\r\n]", ""))
+
+
 def asks_for_slides(text: Column) -> Column:
     """Whether a message asks to make a presentation."""
     text = F.coalesce(text, F.lit(""))

@@ -6,8 +6,10 @@ an error value instead of ending the job. ``MODELS`` is the registry; a deployme
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import time
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -21,7 +23,7 @@ def stub_embed(text: str) -> list[float]:
     """A unit vector of 16 numbers that depends on the words alone."""
     vector = [0.0] * 16
     for word in text.lower().split():
-        code = zlib.crc32(word.encode())
+        code = int(hashlib.md5(word.encode("utf-8", "replace")).hexdigest()[:8], 16)
         vector[code % 16] += 1.0 if code & 16 else -1.0
     size = sum(x * x for x in vector) ** 0.5 or 1.0
     return [x / size for x in vector]
@@ -31,11 +33,59 @@ def stub_translate(text: str, code: str) -> str:
     return f"[{code}] {text}"
 
 
-def stub_chat(prompt: str) -> str:
-    return prompt[:200]
+def stub_chat(messages: Sequence[dict]) -> str:
+    """Repeats the last message."""
+    return messages[-1]["content"]
 
 
-MODELS: dict[str, Callable] = {"embed": stub_embed, "translate": stub_translate, "chat": stub_chat}
+def stub_language(text: str) -> str | None:
+    """``he`` or ``ar`` by the script of the first letter beyond ASCII, else ``en``; None without letters."""
+    if not any(map(str.isalpha, text)):
+        return None
+    first = next((c for c in text if c.isalpha() and not c.isascii()), "a")
+    return "he" if "\u0590" <= first <= "\u05ff" else "ar" if "\u0600" <= first <= "\u06ff" else "en"
+
+
+def stub_pages(content: bytes) -> list[str]:
+    """The text layer of a file that is text: its parts between form feeds."""
+    return content.decode("utf-8", "replace").split("\f")
+
+
+def stub_markdown(content: bytes) -> str:
+    return content.decode("utf-8", "replace")
+
+
+def stub_words(content: bytes, dpi: int) -> list[dict]:
+    """Each word of a file that is text, a page to a form feed, a block to a blank line, a line to a line; all of them sure."""
+    out = []
+    for page, text in enumerate(content.decode("utf-8", "replace").split("\f")):
+        pos = 0
+        for block, part in enumerate(text.split("\n\n")):
+            for number, line in enumerate(part.split("\n")):
+                for word in line.split():
+                    out.append({"page": page, "block_num": block, "par_num": 0, "line_num": number, "pos": pos, "text": word, "conf": "95"})
+                    pos += 1
+    return out
+
+
+def stub_script(content: bytes) -> bool | None:
+    """Whether the first letter beyond ASCII of a file that is text is Hebrew; None where there is none."""
+    first = next((c for c in content.decode("utf-8", "replace") if c.isalpha() and not c.isascii()), None)
+    return None if first is None else "\u0590" <= first <= "\u05ff"
+
+
+def stub_invoice(text: str) -> str:
+    """An answer in the agreed shape that depends on the text's length alone; no JSON for texts of 0 modulo 3."""
+    if len(text) % 3 == 0:
+        return "no invoice"
+    return json.dumps({"document_type": "sales" if len(text) % 3 == 1 else "expense", "amount": len(text), "vat": 0})
+
+
+#: The models by what they do; a deployment replaces entries before it builds queries.
+MODELS: dict[str, Callable] = {
+    "page_words": stub_words, "image_script": stub_script, "page_texts": stub_pages, "document_markdown": stub_markdown, "language": stub_language, "translate": stub_translate,
+    "embed": stub_embed, "chat": stub_chat, "invoice": stub_invoice,
+}
 
 
 def embed(text: Column, model: Callable[[str], Sequence[float]], prefix: str = "", tries: int = 3, wait: float = 1.5) -> Column:
@@ -84,8 +134,6 @@ def translate_text(text: str | None, code: str, model: Callable[[str, str], str]
     Blank texts translate to themselves. A piece fails if the model raises, or its output degenerates or isn't accepted;
     pieces are sentences, or word runs of half the length where sentences don't shorten; they are joined by spaces.
     """
-    import re
-
     from quillspark.functions.text import MARKS, SENTENCE_START
 
     as_python = lambda c: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), c)
@@ -132,17 +180,97 @@ def translate(text: Column, code: Column, model: Callable[[str, str], str], acce
     return run(text, code)
 
 
-def chat(prompt: Column, model: Callable[[str], str]) -> Column:
-    """Struct (text, error): the model's answer, or what went wrong."""
+def language(text: Column, model: Callable[[str], str | None]) -> Column:
+    """The code that the injected model gives a text; null for null, for none and for what makes the model fail."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(value: str) -> str | None:
+            try:
+                return model(value)
+            except Exception:
+                return None
+
+        return texts.map(one, na_action="ignore").astype(object)
+
+    return run(text)
+
+
+def chat(messages: Column, model: Callable[[Sequence[dict]], str]) -> Column:
+    """Struct (text, error): the model's answer to an array of (role, content), or what went wrong."""
 
     @F.pandas_udf("text string, error string")
-    def run(prompts: pd.Series) -> pd.DataFrame:
+    def run(asked: pd.Series) -> pd.DataFrame:
         rows = []
-        for value in prompts:
+        for turns in asked:
             try:
-                rows.append((model(value), None))
+                rows.append((model([{"role": m["role"], "content": m["content"]} for m in turns]), None))
             except Exception as problem:
-                rows.append((None, str(problem)))
-        return pd.DataFrame(rows, columns=["text", "error"])
+                rows.append((None, str(problem) or type(problem).__name__))
+        return pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
-    return run(prompt)
+    return run(messages)
+
+
+#: How much of an invoice's text a model is shown.
+INVOICE_CHARS = 4000
+
+
+def classify(text: Column, model: Callable[[str], str]) -> Column:
+    """The model's raw answer for the first ``INVOICE_CHARS`` of an invoice's text; null where it fails, which
+    :func:`quillspark.operators.ledger.decode` turns into the default record."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(value: str) -> str | None:
+            try:
+                return model(value)
+            except Exception:
+                return None
+
+        return texts.map(one, na_action="ignore").astype(object)
+
+    return run(F.left(F.coalesce(text, F.lit("")), F.lit(INVOICE_CHARS)))
+
+
+# What a model is told after an answer that is no outline, what is said after the second, and how often it is asked.
+OUTLINE_AGAIN, OUTLINE_FAILED, OUTLINE_TRIES = "That wasn't valid. Respond again with ONLY the JSON object, nothing else.", "Could not parse a slide outline from the model's response.", 2
+
+
+def is_outline(raw: str) -> bool:
+    """Whether an answer is JSON, fenced or not, with a slide that has a heading or a bullet."""
+    bare = raw.strip()
+    if bare.startswith("```"):
+        bare = re.sub(r"```\s*$", "", re.sub(r"^```[a-zA-Z]*\n?", "", bare)).strip()
+    try:
+        slides = json.loads(bare)["slides"]
+        return any(isinstance(s, dict) and (str(s.get("heading", "")).strip() or any(str(b).strip() for b in s.get("bullets") or [])) for s in slides or [])
+    except (ValueError, TypeError, KeyError, RecursionError):
+        return False
+
+
+def ask_outline(messages: Column, model: Callable[[Sequence[dict]], str]) -> Column:
+    """Struct (raw, tries, error): the first answer that is an outline, asked again once with a correction.
+
+    After the last try, or where the model itself fails, ``raw`` is null and ``error`` says why. :func:`quillspark.operators.outline.normalise` reads ``raw``.
+    """
+
+    @F.pandas_udf("raw string, tries int, error string")
+    def run(asked: pd.Series) -> pd.DataFrame:
+        rows = []
+        for turns in asked:
+            said, done = [{"role": m["role"], "content": m["content"]} for m in turns], None
+            for attempt in range(1, OUTLINE_TRIES + 1):
+                try:
+                    raw = model(said)
+                except Exception as problem:
+                    done = (None, attempt, str(problem) or type(problem).__name__)
+                    break
+                if is_outline(raw):
+                    done = (raw, attempt, None)
+                    break
+                said = [*said, {"role": "user", "content": OUTLINE_AGAIN}]
+            rows.append(done or (None, OUTLINE_TRIES, OUTLINE_FAILED))
+        return pd.DataFrame(rows, columns=["raw", "tries", "error"])
+
+    return run(messages)

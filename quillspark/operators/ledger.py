@@ -62,6 +62,16 @@ def summary_line(sums: DataFrame) -> DataFrame:
     )
 
 
+def batch_report(ledger: DataFrame, name: str = "filename") -> DataFrame:
+    """(part, place, line): the summary's two lines as part 0, then, where there are any, a heading (1) and a line per
+    unrecognized name (2, in order of the names). Rows, since the names have no bound; joined by line feeds in order of (part,
+    place) they are the text. Null names read as empty."""
+    first = summary_line(totals(ledger, "document_type")).select(F.lit(0).alias("part"), F.lit("").alias("place"), F.col("summary").alias("line"))
+    names = ledger.where("document_type = 'unrecognized'").select(F.coalesce(name, F.lit("")).alias("n"))
+    heading = names.limit(1).select(F.lit(1), F.lit(""), F.lit("\nNot recognized (check these manually):"))
+    return first.union(heading).union(names.select(F.lit(2), "n", F.concat(F.lit("- "), "n")))
+
+
 def ledger_rows(ledger: DataFrame) -> DataFrame:
     """Rows with the sheet they belong to and their seven cells as text."""
     sheet = F.when(F.col("document_type") == "sales", "Sales").when(F.col("document_type") == "expense", "Expenses").otherwise("Unrecognized")

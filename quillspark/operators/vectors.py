@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine distance, exact and over an index of random hyperplanes."""
+"""Nearest neighbours by cosine distance, exact."""
 
 from __future__ import annotations
 
@@ -8,64 +8,48 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillspark.util import spread
 
 #: Vectors to a block; a pair of blocks is one row of work.
 BLOCK = 2048
 
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
-    """Rows of up to about ``BLOCK`` vectors each: ids and their vectors, unit length, end to end."""
-    count = df.count()
-    parts = max(1, -(-count // BLOCK))
+    """Rows of up to ``BLOCK`` vectors each: ids and their vectors, unit length, end to end."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if len(frame):
-                yield pd.DataFrame({f"{name}_ids": [frame["id"].tolist()], f"{name}_vectors": [np.concatenate(frame["v"].tolist()).astype("float64").tolist()]})
+            for start in range(0, len(frame), BLOCK):
+                part = frame.iloc[start : start + BLOCK]
+                vectors = np.stack(part["v"].tolist()).astype("float64")
+                vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+                yield pd.DataFrame({f"{name}_ids": [part["id"].tolist()], f"{name}_vectors": [vectors.ravel().tolist()]})
 
     cleaned = df.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("aggregate(v, 0D, (a, x) -> a + x * x) > 0")
-    packed = cleaned.repartition(parts, F.xxhash64("id"))
-    # a partition comes in Arrow batches, each of which becomes a block
-    return packed.mapInPandas(pack, f"{name}_ids array<bigint>, {name}_vectors array<double>")
+    return cleaned.mapInPandas(pack, f"{name}_ids array<bigint>, {name}_vectors array<double>")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, id_col: str, vector_col: str, k: int = 5) -> DataFrame:
     """(query_id, rank, id, distance) of the ``k`` rows nearest to each query by cosine distance.
 
-    Exact, in blocks: each pair of a query block and a row block is one matrix product that leaves k rows per query, and
-    the best k of those are found per query. Ties go to the smaller id; null and zero vectors take no part.
+    Exact, in blocks: each pair of a query block and a row block is one matrix product that leaves k rows per query. Of
+    these each task keeps the best k of a query before the shuffle (the window's group limit), so a query's group holds k
+    rows per task, however many rows there are. Ties go to the smaller id; null and zero vectors take no part; all
+    vectors have the same length.
     """
-    pairs = _blocks(rows, id_col, vector_col, "r").crossJoin(_blocks(queries, id_col, vector_col, "q"))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    pairs = _blocks(spread(rows, id_col), id_col, vector_col, "r").crossJoin(_blocks(queries, id_col, vector_col, "q"))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r_ids, r_flat, q_ids, q_flat in zip(frame["r_ids"], frame["r_vectors"], frame["q_ids"], frame["q_vectors"]):
                 r_ids, q_ids = np.asarray(r_ids), np.asarray(q_ids)
-                r, q = np.asarray(r_flat).reshape(len(r_ids), -1), np.asarray(q_flat).reshape(len(q_ids), -1)
-                r, q = r / np.linalg.norm(r, axis=1, keepdims=True), q / np.linalg.norm(q, axis=1, keepdims=True)
-                far = np.round(1 - q @ r.T, 9)
-                order = np.lexsort((np.broadcast_to(r_ids, far.shape), far), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, order.shape[1]), "id": r_ids[order].ravel(), "distance": np.take_along_axis(far, order, axis=1).ravel()})
-
-    near = pairs.repartition(cores).mapInPandas(multiply, "query_id bigint, id bigint, distance double")
-    best = near.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.id", "hit.distance")
-
-
-def hyperplane_codes(rows: DataFrame, id_col: str, vector_col: str, dim: int, tables: int = 12, bits: int = 8, seed: int = 7) -> DataFrame:
-    """(table_no, code, id, v): every row's bucket in each of ``tables`` sets of ``bits`` random hyperplanes."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits)
-        for frame in frames:
-            if not len(frame):
-                continue
-            vectors = np.array(frame["v"].tolist())
-            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-            codes = ((np.einsum("tbd,nd->ntb", planes, vectors) > 0) * weights).sum(axis=2)
-            yield pd.DataFrame({"table_no": np.tile(np.arange(tables), len(frame)), "code": codes.ravel(), "id": np.repeat(frame["id"].to_numpy(), tables), "v": np.repeat(pd.Series(list(vectors)), tables).tolist()})
-
-    cleaned = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.size("v") == dim)
-    return cleaned.mapInPandas(run, "table_no int, code bigint, id bigint, v array<double>")
+                far = np.round(1 - np.asarray(q_flat).reshape(len(q_ids), -1) @ np.asarray(r_flat).reshape(len(r_ids), -1).T, 9)
+                edge = np.partition(far, min(k, len(r_ids)) - 1, axis=1)[:, min(k, len(r_ids)) - 1]
+                at, hit = np.nonzero(far <= edge[:, None])  # ties at the edge are kept, and settled by id
+                yield pd.DataFrame({"query_id": q_ids[at], "id": r_ids[hit], "distance": far[at, hit]})
+
+    near = pairs.mapInPandas(multiply, "query_id bigint, id bigint, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
