@@ -14,6 +14,8 @@ from quillspark import models
 from quillspark.functions import quality as q
 from quillspark.functions import text as t
 from quillspark.operators import crawl, ledger, ocr, outline, records, retrieval, timestamps, vectors
+from quillspark.sinks import office
+from quillspark.sources import files
 from quillspark.util import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +120,10 @@ _LOOPED = "CASE WHEN doc_id % 7 = 0 THEN text || repeat(' abc1 abc2 abc3', 12) E
       coalesce(len(w) >= 40 AND (len(list_distinct(w)) / len(w) < 0.3 OR best >= 5), false) AS degenerate FROM r""")
 def degenerate_flags(spark, d):  # T7 A8 A9 W2
     x = table(spark, d, "documents").select("doc_id", F.expr(_LOOPED).alias("x"))
-    return x.select("doc_id", F.round(q.unique_ratio(F.col("x")), 6).alias("unique_ratio"), q.prefix_run(F.col("x")).alias("longest_run"), q.is_degenerate(F.col("x")).alias("degenerate"))
+    w = x.select("doc_id", t.words(F.col("x")).alias("w"), q.prefix_run(F.col("x")).alias("longest_run"))
+    w = w.select("doc_id", "w", "longest_run", F.size(F.array_distinct("w")).alias("different"))  # split once: each of these is used by what follows
+    ratio = F.col("different") / F.nullif(F.size("w"), F.lit(0))
+    return w.select("doc_id", F.round(F.when(F.col("w").isNotNull(), ratio), 6).alias("unique_ratio"), "longest_run", q.is_degenerate(F.col("doc_id"), F.col("w"), F.col("longest_run")).alias("degenerate"))
 
 
 def _ratio(block: str) -> str:
@@ -127,7 +132,7 @@ def _ratio(block: str) -> str:
 
 
 @query(rf"SELECT file_id, round({_ratio(r'\x{0590}-\x{05FF}')}, 6) AS hebrew_ratio, coalesce({_ratio(r'\x{0590}-\x{06FF}')} >= 0.3, false) AS rtl FROM (SELECT file_id, markdown AS x FROM extracted_file)")
-def script_profile(spark, d):  # P4 T10 L4
+def script_profile(spark, d):  # P4 T10
     return table(spark, d, "extracted_file").select("file_id", F.round(q.hebrew_ratio(F.col("markdown")), 6).alias("hebrew_ratio"), q.is_rtl(F.col("markdown")).alias("rtl"))
 
 
@@ -165,7 +170,7 @@ _SUFFIX = r"lower(regexp_extract(path, '[^./]*(\.[^./]+)$', 1))"
 @query(rf"""SELECT file_id, CASE WHEN coalesce(hebrew_ocr_used, false) THEN true WHEN {_SUFFIX} NOT IN ('.pdf', '.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp') THEN false
       WHEN {_ratio(r'\x{0590}-\x{05FF}')} >= 0.15 THEN true ELSE coalesce(detected_lang = 'he', false) END AS hebrew,
       coalesce(length(x) >= 200 AND {_ratio(r'\x{0590}-\x{05FF}')} IS NOT NULL, false) AS native_text FROM (SELECT *, markdown AS x FROM extracted_file)""")
-def hebrew_resolve(spark, d):  # P1 P3 S3 P5 P19
+def hebrew_resolve(spark, d):  # P1 P3 S3 P5
     f = table(spark, d, "extracted_file")
     return f.select("file_id", q.resolve_hebrew(F.col("hebrew_ocr_used"), t.suffix_of(F.col("path")), q.hebrew_ratio(F.col("markdown")), F.col("detected_lang") == "he").alias("hebrew"), q.native_text_serves(F.col("markdown"), F.lit(False)).alias("native_text"))
 
@@ -182,27 +187,28 @@ def preview_route(spark, d):  # P2
 @query(f"""
     WITH a AS (SELECT conv_id, turn, content, {_strip("regexp_replace(content, '(?is)<think>.*?</think>', '', 'g')")} AS c FROM chat_turn),
     b AS (SELECT *, {_strip("regexp_replace(c, '(?is)<think>.*', '', 'g')")} AS u FROM a)
-    SELECT conv_id, turn, CASE WHEN NOT contains(lower(c), '<think>') THEN c WHEN u = '' THEN '{t.NO_ANSWER.replace("'", "''")}' ELSE u END AS answer FROM b""")
+    SELECT conv_id, turn, CASE WHEN NOT contains(lower(c), '<think>') THEN c WHEN u = '' THEN '_(The model ran out of space while reasoning and never reached an answer. Try a shorter question or a smaller attached document.)_' ELSE u END AS answer FROM b""")
 def strip_thinking(spark, d):  # T12
     return table(spark, d, "chat_turn").select("conv_id", "turn", t.strip_thinking(F.col("content")).alias("answer"))
 
 
-_CITES = t.CITATION.replace("(?iu)", "(?i)").replace("'", "''")
+# Fixed value: how citations read, written out here so that the SQL doesn't share the code's constant.
+_CITES = r"(?i)(סעיף\s*\d+|תקנה\s*\d+|חוק\s+\S+|פסק\s*דין|בג\"?ץ|ע\"?א\s*\d+|\bsection\s+\d+|\bregulation\s+\d+|\barticle\s+\d+|\blaw\s*(\(|,)?\s*(19|20|5[6-9])\d{2}\b|\bhcj\b|\bbasic\s+law\b)"
 
 
 @query(f"""
     WITH p AS (SELECT conv_id, turn, sent_at, role, content, list_filter(list_transform(string_split_regex(regexp_replace(content, '([.!?])[{S}]+', '\\1' || chr(10), 'g'), '\\n+'),
       lambda s: regexp_replace(s, '^[ \\-•\\t\\n]+|[ \\-•\\t\\n]+$', '', 'g')), lambda s: s <> '' AND regexp_matches(s, '{_CITES}')) AS c FROM chat_turn)
-    SELECT conv_id, turn, CASE WHEN content IS NULL THEN NULL ELSE array_to_string(list_sort(list_distinct(c)), chr(31)) END AS cited, CASE WHEN content IS NULL THEN NULL ELSE len(c) = 0 END AS uncited FROM p""")
+    SELECT conv_id, turn, CASE WHEN content IS NULL THEN NULL ELSE array_to_string(list_filter(c, lambda s, i: list_position(c, s) = i), chr(31)) END AS cited, CASE WHEN content IS NULL THEN NULL ELSE len(c) = 0 END AS uncited FROM p""")
 def extract_citations(spark, d):  # T14 T15 U3 P17 D20
     c = t.citations(F.col("content"))
-    return table(spark, d, "chat_turn").select("conv_id", "turn", F.array_join(F.array_sort(c), SEP).alias("cited"), (F.length(t.warn_uncited(F.col("content"))) > F.length("content")).alias("uncited"))
+    return table(spark, d, "chat_turn").select("conv_id", "turn", F.array_join(c, SEP).alias("cited"), (F.length(t.warn_uncited(F.col("content"))) > F.length("content")).alias("uncited"))
 
 
 _ASKED = "CASE WHEN turn % 3 = 0 THEN concat('please make me a slide deck about ', coalesce(content, '')) WHEN turn % 3 = 1 THEN concat('my presentation tomorrow: ', coalesce(content, '')) ELSE content END"
 
 
-@query(rf"SELECT conv_id, turn, regexp_matches(coalesce(x, ''), '{t.SLIDES_NOUN}') AND regexp_matches(coalesce(x, ''), '{t.SLIDES_VERB}') AS slides FROM (SELECT conv_id, turn, {_ASKED} AS x FROM chat_turn)")
+@query(rf"SELECT conv_id, turn, regexp_matches(coalesce(x, ''), '(?i)\b(power ?point|pptx|slide ?deck|slides?|presentation)\b') AND regexp_matches(coalesce(x, ''), '(?i)\b(make|create|generate|build|write|prepare|put together|draft|produce)\b') AS slides FROM (SELECT conv_id, turn, {_ASKED} AS x FROM chat_turn)")
 def pptx_intent(spark, d):  # P16
     return table(spark, d, "chat_turn").select("conv_id", "turn", t.asks_for_slides(F.expr(_ASKED)).alias("slides"))
 
@@ -214,20 +220,12 @@ def num_ctx(spark, d):  # P20
 
 
 @query("""
-    WITH q AS (SELECT conv_id, min(coalesce(content, '')) AS a FROM chat_turn GROUP BY 1), x AS (SELECT conv_id, CASE WHEN length(a) > 60 THEN left(a, 60) || chr(10) || '[...truncated, file is longer...]' ELSE a END AS docs FROM q)
+    WITH q AS (SELECT conv_id, min(coalesce(content, '')) AS a FROM chat_turn GROUP BY 1), x AS (SELECT conv_id, CASE WHEN length(a) > 6000 THEN left(a, 6000) || chr(10) || '[...truncated, file is longer...]' ELSE a END AS docs FROM q)
     SELECT conv_id, part, turn, role, content FROM (
       SELECT conv_id, 1 AS part, turn, role, content FROM chat_turn WHERE content IS NOT NULL UNION ALL
       SELECT conv_id, 0, 0, 'system', 'Answer from the documents.' FROM x UNION ALL
       SELECT conv_id, 2, 0, 'user', CASE WHEN docs <> '' THEN 'The user attached the following document(s):' || chr(10) || chr(10) || docs || chr(10) || chr(10) || 'User question: What follows?' ELSE 'What follows?' END FROM x)""")
 def chat_messages(spark, d):  # U4 P15 T22 L3 D12
-    turns = table(spark, d, "chat_turn")
-    asked = turns.groupBy("conv_id").agg(F.min(F.coalesce("content", F.lit(""))).alias("a"))
-    asked = asked.select("conv_id", retrieval.user_message(F.lit("What follows?"), t.truncate(F.col("a"), 60, retrieval.CUT_MARK)).alias("content"))
-    return retrieval.messages(turns, asked, "Answer from the documents.")
-
-
-@query()
-def chat_messages_whole(spark, d):  # U4 P15 T22 L3 D12: the operator's own limit, in place of the 60 characters of the SQL of chat_messages
     turns = table(spark, d, "chat_turn")
     asked = turns.groupBy("conv_id").agg(F.min(F.coalesce("content", F.lit(""))).alias("a"))
     asked = asked.select("conv_id", retrieval.user_message(F.lit("What follows?"), t.truncate(F.col("a"), retrieval.MOST_CONTEXT, retrieval.CUT_MARK)).alias("content"))
@@ -310,7 +308,7 @@ def collection_health(spark, d):  # S8 S9 A11
     g AS (SELECT * FROM k WHERE word <> '' AND conf >= 40 AND pos % 11 <> 10),
     li AS (SELECT file_id, b, p, ln, string_agg(word, ' ' ORDER BY pos) AS t FROM g GROUP BY ALL), pa AS (SELECT file_id, b, p, string_agg(t, chr(10) ORDER BY ln) AS t FROM li GROUP BY ALL)
     SELECT file_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY b, p)) AS text FROM pa GROUP BY 1""")
-def ocr_regroup(spark, d):  # A1 P6 O2 D4 S6
+def ocr_regroup(spark, d):  # A1 P6 O2 D4
     lines = table(spark, d, "extracted_file").select("file_id", F.posexplode(F.split("markdown", "\n")).alias("ln", "line"))
     words = lines.select("file_id", "ln", F.posexplode(F.split("line", " ")).alias("pos", "text"))
     conf = F.when(F.col("pos") % 11 == 10, F.lit("bad")).otherwise(((F.col("pos") * 37 + F.col("file_id")) % 100).cast("string"))
@@ -363,6 +361,14 @@ def batch_summary(spark, d):  # T28
     return ledger.summary_line(ledger.totals(_ledger(spark, d), "document_type"))
 
 
+@query(_LEDGER + """, s AS (SELECT coalesce(filename, '') AS n FROM l WHERE document_type = 'unrecognized'), o AS (SELECT count(*) AS n, count(*) FILTER (document_type = 'sales') AS sn, count(*) FILTER (document_type = 'expense') AS en, count(*) FILTER (document_type = 'unrecognized') AS un,
+      round(coalesce(sum(amount) FILTER (document_type = 'sales'), 0), 2) AS sa, round(coalesce(sum(vat) FILTER (document_type = 'sales'), 0), 2) AS sv, round(coalesce(sum(amount) FILTER (document_type = 'expense'), 0), 2) AS ea, round(coalesce(sum(vat) FILTER (document_type = 'expense'), 0), 2) AS ev FROM l)
+    SELECT 0 AS part, '' AS place, format('Processed {} page(s)/file(s): {} sales, {} expenses, {} unrecognized.', n, sn, en, un) || chr(10) || format('Total sales: {:.2f} (VAT: {:.2f}) | Total expenses: {:.2f} (VAT: {:.2f})', sa, sv, ea, ev) AS line FROM o
+    UNION ALL SELECT 1, '', chr(10) || 'Not recognized (check these manually):' FROM o WHERE un > 0 UNION ALL SELECT 2, n, '- ' || n FROM s""")
+def batch_report(spark, d):  # T28
+    return ledger.batch_report(_ledger(spark, d))
+
+
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS bucket, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def event_props(spark, d):  # N3
     e = table(spark, d, "events").withColumn("bucket", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint") % 10)
@@ -371,19 +377,10 @@ def event_props(spark, d):  # N3
 
 # ---- outlines --------------------------------------------------------------------------------------------------------
 
-_DECK = """CASE WHEN turn % 5 = 4 THEN content WHEN turn % 5 = 3 THEN concat('{"title": "x", "slides": []}') ELSE
-    concat('```json', chr(10), '{"title": ', CASE WHEN turn % 2 = 0 THEN '" Deck "' ELSE '""' END, ', "slides": [{"heading": " ", "bullets": [" a ", "", ', to_json(%s), ']}, {"heading": "", "bullets": []}, 3, {"heading": "H', CAST(turn AS %s), '"}]}', chr(10), '```') END"""
-
-
 @query(f"""
-    WITH r AS (SELECT conv_id, turn, content, left({_strip("coalesce(content, '')")}, 40) AS c FROM chat_turn)
-    SELECT conv_id, turn, CASE WHEN turn % 5 >= 3 THEN NULL WHEN turn % 2 = 0 THEN 'Deck' ELSE 'Untitled Presentation' END AS title, CASE WHEN turn % 5 >= 3 THEN NULL ELSE 'Untitled: a' || CASE WHEN {_strip('c')} <> '' THEN ';' || {_strip('c')} ELSE '' END || chr(10) || 'H' || turn || ': ' END AS slides FROM r""")
-def outline_normalize(spark, d):  # N1 T13 D15
-    return _outlines(table(spark, d, "chat_turn"), F.left(t.strip(F.coalesce("content", F.lit(""))), F.lit(40)))
-
-
-@query()
-def outline_normalize_whole(spark, d):  # N1 T13 D15: the whole content as a bullet, which the SQL of outline_normalize cuts
+    WITH r AS (SELECT conv_id, turn, {_strip("coalesce(content, '')")} AS c FROM chat_turn)
+    SELECT conv_id, turn, CASE WHEN turn % 5 >= 3 THEN NULL WHEN turn % 2 = 0 THEN 'Deck' ELSE 'Untitled Presentation' END AS title, CASE WHEN turn % 5 >= 3 THEN NULL ELSE 'Untitled: a' || CASE WHEN c <> '' THEN ';' || c ELSE '' END || chr(10) || 'H' || turn || ': ' END AS slides FROM r""")
+def outline_normalize(spark, d):  # N1 T13 D15: the whole content as a bullet of a deck made for it
     return _outlines(table(spark, d, "chat_turn"), F.coalesce("content", F.lit("")))
 
 
@@ -405,25 +402,47 @@ _GOOD = "(status = 200 AND robots_ok AND transport_error IS NULL)"
 
 
 _CHANGES = f"""
-    WITH p AS (SELECT *, last_value(CASE WHEN {_GOOD} THEN coalesce(sha256, '-') END IGNORE NULLS) OVER (PARTITION BY pdf_url ORDER BY ts, arrived_at NULLS FIRST, status NULLS FIRST, sha256 NULLS FIRST, etag NULLS FIRST, last_modified NULLS FIRST, robots_ok NULLS FIRST, transport_error NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior
-      FROM pdf_fetch WHERE pdf_url IS NOT NULL AND ts IS NOT NULL),
-    c AS (SELECT pdf_url, ts, robots_ok, CASE WHEN NOT coalesce(robots_ok, false) OR transport_error IS NOT NULL THEN 'error' WHEN status = 304 THEN 'unchanged' WHEN coalesce(status, 0) <> 200 THEN 'error'
-      WHEN prior IS NULL THEN 'new' WHEN coalesce(sha256, '-') = prior THEN 'unchanged' ELSE 'updated' END AS outcome FROM p)"""
+    WITH f AS (SELECT * REPLACE (CASE WHEN {_GOOD} THEN coalesce(sha256, '-') ELSE sha256 END AS sha256) FROM pdf_fetch WHERE pdf_url IS NOT NULL AND ts IS NOT NULL),
+    p AS (SELECT *, last_value(CASE WHEN {_GOOD} THEN sha256 END IGNORE NULLS) OVER before AS prior, coalesce(bool_or(coalesce(status IN (200, 304) AND robots_ok AND transport_error IS NULL, false)) OVER before, false) AS known, row_number() OVER ordered AS place
+      FROM f WINDOW ordered AS (PARTITION BY pdf_url ORDER BY ts, arrived_at NULLS FIRST, status NULLS FIRST, sha256 NULLS FIRST, etag NULLS FIRST, last_modified NULLS FIRST, robots_ok NULLS FIRST, transport_error NULLS FIRST),
+        before AS (PARTITION BY pdf_url ORDER BY ts, arrived_at NULLS FIRST, status NULLS FIRST, sha256 NULLS FIRST, etag NULLS FIRST, last_modified NULLS FIRST, robots_ok NULLS FIRST, transport_error NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT *, CASE WHEN NOT coalesce(robots_ok, false) OR transport_error IS NOT NULL THEN 'error' WHEN status = 304 THEN 'unchanged' WHEN coalesce(status, 0) <> 200 THEN 'error'
+      WHEN coalesce(sha256 = prior, false) THEN 'unchanged' WHEN known THEN 'updated' ELSE 'new' END AS outcome FROM p)"""
 
 
 @query(_CHANGES + " SELECT pdf_url, outcome, CAST(count(*) AS BIGINT) AS n, CAST(min(ts) AS VARCHAR) AS first_at FROM c GROUP BY 1, 2")
-def manifest_changes(spark, d):  # I1 W3 I3 I5 D18
+def manifest_changes(spark, d):  # I1 W3 D18
     c = crawl.manifest_changes(table(spark, d, "pdf_fetch"))
     return c.groupBy("pdf_url", "outcome").agg(F.count("*").alias("n"), F.min("ts").cast("string").alias("first_at"))
 
 
 @query(_CHANGES + """ SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CAST(count(*) AS BIGINT) AS pdfs_seen, CAST(count(*) FILTER (outcome = 'new') AS BIGINT) AS pdfs_new, CAST(count(*) FILTER (outcome = 'updated') AS BIGINT) AS pdfs_updated,
     CAST(count(*) FILTER (outcome = 'unchanged') AS BIGINT) AS pdfs_unchanged, CAST(count(*) FILTER (outcome = 'error') AS BIGINT) AS pdfs_error, CAST(count(*) FILTER (outcome = 'error' AND coalesce(robots_ok, false)) AS BIGINT) AS errors FROM c GROUP BY 1""")
-def crawl_stats(spark, d):  # A7 D17 I4
+def crawl_stats(spark, d):  # A7 D17
     c = crawl.manifest_changes(table(spark, d, "pdf_fetch")).withColumn("month", F.trunc(F.to_date("ts"), "month"))
     return crawl.crawl_stats(c, "month")
 
 
+@query(_CHANGES + """ SELECT pdf_url, ts, pdf_url || ': ' || coalesce(transport_error, 'HTTP ' || coalesce(CAST(status AS VARCHAR), 'None')) AS message FROM c WHERE outcome = 'error' AND coalesce(robots_ok, false)""")
+def crawl_errors(spark, d):  # A7 D17
+    return crawl.crawl_errors(crawl.manifest_changes(table(spark, d, "pdf_fetch")))
+
+
+_LAW = r"\s*\((?:חוק|תקנות|חקיקה)\)\s*[-–]\s*אתר.?הזכויות\s*$"
+_NAME = rf"""coalesce(nullif(left(regexp_replace(trim(regexp_replace(regexp_replace(coalesce(source_title, ''), '{_LAW}', ''), '[<>:"/\\|?*\x00-\x1f]', ' ', 'g')), '\s+', ' ', 'g'), 150), ''), 'document')"""
+
+
+@query(_CHANGES + rf""", told AS (SELECT pdf_url, min_by(source_title, (coalesce(source_page_url, ''), coalesce(source_title, ''))) AS source_title, min(source_page_url) AS source_page_url FROM manifest GROUP BY 1),
+    g AS (SELECT pdf_url, max(place) FILTER (outcome IN ('new', 'updated')) AS replaced, arg_max(sha256, place) FILTER (outcome IN ('new', 'updated')) AS sha256, min(ts) FILTER (outcome IN ('new', 'updated')) AS first_at, max(ts) AS checked FROM c WHERE outcome <> 'error' GROUP BY 1),
+    v AS (SELECT pdf_url, arg_max(etag, place) FILTER (etag IS NOT NULL) AS etag, arg_max(last_modified, place) FILTER (last_modified IS NOT NULL) AS last_modified FROM c JOIN g USING (pdf_url) WHERE outcome <> 'error' AND status = 200 AND place >= coalesce(replaced, 0) GROUP BY 1)
+    SELECT pdf_url, etag, last_modified, sha256, CASE WHEN replaced IS NOT NULL THEN {_NAME} || ' -- ' || coalesce(nullif(regexp_extract(regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '([^/]+)/*$', 1), ''), 'document.pdf') END AS local_filename,
+      CASE WHEN replaced IS NOT NULL THEN source_page_url END AS source_page_url, CASE WHEN replaced IS NOT NULL THEN source_title END AS source_title,
+      strftime(first_at, '%Y-%m-%dT%H:%M:%SZ') AS first_seen, strftime(checked, '%Y-%m-%dT%H:%M:%SZ') AS last_checked FROM g LEFT JOIN v USING (pdf_url) LEFT JOIN told USING (pdf_url)""")
+def manifest_state(spark, d):  # I1 K7 T17: entries made by the fetches alone
+    changes = crawl.manifest_changes(table(spark, d, "pdf_fetch"))
+    return crawl.manifest_state(changes, table(spark, d, "manifest").select("pdf_url", "source_page_url", "source_title"), SITE)
+
+
 @query("SELECT f.pdf_url, nullif(m.etag, '') AS if_none_match, nullif(m.last_modified, '') AS if_modified_since, m.pdf_url IS NOT NULL AS known FROM (SELECT DISTINCT pdf_url FROM pdf_fetch) f LEFT JOIN manifest m ON f.pdf_url = m.pdf_url")
 def conditional_headers(spark, d):  # I2 J1 S19
     return crawl.conditional_headers(table(spark, d, "pdf_fetch"), table(spark, d, "manifest"))
@@ -474,29 +493,44 @@ def sitemap_walk(spark, d):  # S13 J6 L2 D19
     return crawl.walk_sitemaps(top.unionByName(leaves).unionByName(back), "root")
 
 
-@query("SELECT pdf_url, coalesce(source_page_url, 'none') AS link, 'https://zchuyot.example/w/api.php?action=feedrecentchanges&feedformat=atom&namespace=0&hideminor=1&days=1&limit=500' AS feed FROM manifest")
+@query("SELECT pdf_url, coalesce(source_page_url, 'none') AS link, 'https://zchuyot.example/w/he/index.php?title=%D7%9E%D7%99%D7%95%D7%97%D7%93%3A%D7%A9%D7%99%D7%A0%D7%95%D7%99%D7%99%D7%9D_%D7%90%D7%97%D7%A8%D7%95%D7%A0%D7%99%D7%9D&feed=atom&days=1&limit=500' AS feed FROM manifest")
 def recent_changes(spark, d):  # S14 S15
     m = table(spark, d, "manifest")
     xml = F.concat(F.lit("<feed><entry><link href='"), F.coalesce("source_page_url", F.lit("none")), F.lit("'/><link href='x'/></entry></feed>"))
     return m.select("pdf_url", F.get(crawl.feed_links(xml), F.lit(0)).alias("link"), crawl.feed_url(F.lit("https://zchuyot.example")).alias("feed"))
 
 
+_FOUND = r"""SELECT '%s' AS mode, source_page_url AS page_url, source_title AS title, pdf_url FROM manifest WHERE source_page_url IS NOT NULL AND regexp_matches(source_title, '\((?:חוק|תקנות|חקיקה)\)\s*[-–]\s*אתר.?הזכויות')
+    AND regexp_matches(pdf_url, '(?i)\.pdf(?:[?#]|$)') AND (pdf_url LIKE 'https://zchuyot.example/%%' OR pdf_url LIKE 'https://%%.zchuyot.example/%%')"""
+
+
+@query(_FOUND % "full" + r" AND starts_with(regexp_extract(source_page_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/he/') UNION ALL " + _FOUND % "incremental")
+def discover_modes(spark, d):  # I3 S13 S14 P7 P8 P9 U1 L2
+    m = table(spark, d, "manifest").where("source_page_url IS NOT NULL")
+    html = F.concat(F.lit("<html><head><title>"), _escaped("source_title"), F.lit("</title></head><body><a href='"), _escaped("pdf_url"), F.lit("'>pdf</a></body>"))
+    pages = m.select(F.col("source_page_url").alias("page_url"), html.alias("html"), "pdf_url")
+    urls = m.select(F.col("source_page_url").alias("url")).distinct()
+    edges = urls.select(F.lit("https://zchuyot.example/sitemap.xml").alias("parent"), F.col("url").alias("child"), F.lit(False).alias("is_index"))
+    feeds = urls.select(F.concat(F.lit("<feed><entry><link href='"), _escaped("url"), F.lit("'/></entry></feed>")).alias("xml"))
+    law = t.is_law_title(F.col("title"), SITE)
+    both = [crawl.discover(mode, pages, edges, "https://zchuyot.example/sitemap.xml", feeds, most=2**31 - 1, title_filter=law, domain="zchuyot.example").select(F.lit(mode).alias("mode"), "page_url", "title", "pdf_url") for mode in ("full", "incremental")]
+    return both[0].unionByName(both[1])
+
+
+def _escaped(column):
+    return F.replace(F.replace(F.replace(F.coalesce(column, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#39;"))
+
+
 @query("SELECT pdf_url, sha256(pdf_url) AS digest, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM pdf_fetch WHERE ts IS NOT NULL")
 def digests(spark, d):  # T25 T26
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return table(spark, d, "pdf_fetch").where("ts IS NOT NULL").select("pdf_url", F.sha2(F.col("pdf_url").cast("binary"), 256).alias("digest"), timestamps.instant_text(us).alias("at"))
 
 
-@query("SELECT file_id, 'data:application/pdf;base64,' || to_base64(encode(path)) AS uri, '--- Content of ' || path || ' ---' || chr(10) || left(coalesce(markdown, ''), 50) AS block FROM extracted_file WHERE path IS NOT NULL")
-def data_uris(spark, d):  # T27 T21
-    f = table(spark, d, "extracted_file").where("path IS NOT NULL")
-    return f.select("file_id", F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.col("path").cast("binary"))).alias("uri"), retrieval.attached(F.col("path"), F.left(F.coalesce("markdown", F.lit("")), F.lit(50))).alias("block"))
-
-
-@query()
-def data_uris_whole(spark, d):  # T27 T21: the whole text, which the SQL of data_uris cuts
-    f = table(spark, d, "extracted_file").where("path IS NOT NULL")
-    return f.select("file_id", F.concat(F.lit("data:application/pdf;base64,"), F.base64(F.col("path").cast("binary"))).alias("uri"), retrieval.attached(F.col("path"), F.coalesce("markdown", F.lit(""))).alias("block"))
+@query("SELECT file_id, 'data:application/pdf;base64,' || to_base64(encode(coalesce(markdown, ''))) AS uri, '--- Content of ' || path || ' ---' || chr(10) || coalesce(markdown, '') AS block FROM extracted_file WHERE path IS NOT NULL")
+def data_uris(spark, d):  # T27 T21: the table has no bytes but those of its text
+    f = table(spark, d, "extracted_file").where("path IS NOT NULL").select("file_id", "path", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    return f.select("file_id", t.data_uri(F.col("markdown").cast("binary")).alias("uri"), retrieval.attached(F.col("path"), F.col("markdown")).alias("block"))
 
 
 # ---- languages and models --------------------------------------------------------------------------------------------
@@ -504,18 +538,11 @@ def data_uris_whole(spark, d):  # T27 T21: the whole text, which the SQL of data
 _NAMED = "CASE doc_id % 4 WHEN 0 THEN 'Italian' WHEN 1 THEN ' HEBREW ' WHEN 2 THEN 'german' ELSE 'Arabic' END"
 
 
-@query(f"SELECT x.doc_id, l.code, '<2' || l.code || '> ' || left(text, 30) AS tagged, l.name IN ('arabic', 'hebrew') AS rtl FROM (SELECT doc_id, text, trim({_NAMED}) AS n FROM documents) x JOIN language_dim l ON lower(x.n) = lower(l.name)")
-def language_lookup(spark, d):  # P22 J3 T24 P18 D7
-    docs = table(spark, d, "documents").select("doc_id", "text", F.expr(_NAMED).alias("name"))
-    coded = records.lookup_code(docs, table(spark, d, "language_dim"), "name")
-    return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), F.left("text", F.lit(30))).alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"))
-
-
-@query()
-def language_lookup_whole(spark, d):  # P22 J3 T24 P18 D7: the whole text, which the SQL of language_lookup cuts
+@query(f"SELECT x.doc_id, l.code, '<2' || l.code || '> ' || text AS tagged, l.name IN ('arabic', 'hebrew') AS rtl, lower(x.n) = 'hebrew' AS hebrew_ocr FROM (SELECT doc_id, text, trim({_NAMED}) AS n FROM documents) x JOIN language_dim l ON lower(x.n) = lower(l.name)")
+def language_lookup(spark, d):  # P22 J3 T24 P18 P19 D7
     docs = table(spark, d, "documents").select("doc_id", "text", F.expr(_NAMED).alias("name"))
     coded = records.lookup_code(docs, table(spark, d, "language_dim"), "name")
-    return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), "text").alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"))
+    return coded.select("doc_id", "code", F.concat(F.lit("<2"), "code", F.lit("> "), "text").alias("tagged"), q.is_rtl_language(F.col("name")).alias("rtl"), q.hebrew_from_language(F.col("name")).alias("hebrew_ocr"))
 
 
 @query()
@@ -531,19 +558,108 @@ def translate_retry(spark, d):  # I6 I7 I9 P21 A6 T23
     return retrieval.assemble(pieces.select("doc_id", "chunk_idx", F.col("r.text").alias("t"), F.col("r.ok").alias("ok")), "doc_id", "chunk_idx", "t", "ok")
 
 
-@query()
+_CODE = "CAST('0x' || left(md5(w), 8) AS UBIGINT)"
+
+
+@query(f"""
+    WITH e AS (SELECT rec_id, {_words("lower('search_document: ' || " + _EMBED + ")")} AS ws FROM cic_it_canons WHERE {_strip(_EMBED)} <> ''),
+    c AS (SELECT rec_id, list_transform(ws, lambda w: {_CODE}) AS cs FROM e),
+    v AS (SELECT rec_id, list_transform(range(16), lambda k: coalesce(list_sum(list_transform(list_filter(cs, lambda c: c % 16 = k), lambda c: CASE WHEN (c // 16) % 2 = 1 THEN 1.0 ELSE -1.0 END)), 0.0)) AS v FROM c),
+    n AS (SELECT rec_id, v, sqrt(list_sum(list_transform(v, lambda x: CAST(x AS DOUBLE) * x))) AS size FROM v)
+    SELECT rec_id, array_to_string(list_transform(v, lambda x: printf('%.6f', round(CAST(x AS DOUBLE) / CASE WHEN size = 0 THEN 1 ELSE size END, 6) + 0.0)), ' ') AS vector FROM n""")
 def embed_batch(spark, d):  # I8 T19
-    rows = table(spark, d, "cic_it_canons").withColumn("e", records.text_to_embed()).where("e <> ''")
-    return rows.select("rec_id", models.embed(F.col("e"), models.stub_embed, "search_document: ").alias("vector")).where("vector IS NOT NULL")
+    rows = table(spark, d, "cic_it_canons").withColumn("e", records.text_to_embed())  # blank ones have no vector
+    made = rows.select("rec_id", models.embed(F.col("e"), models.MODELS["embed"], "search_document: ").alias("vector")).where("vector IS NOT NULL")
+    return made.select("rec_id", F.array_join(F.transform("vector", lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0)), " ").alias("vector"))
 
 
-@query()
-def slide_rows(spark, d):  # K3 K4 N2
+_LINES = f"""
+    WITH t AS (SELECT concat_ws('-', conv_id, turn) AS deck, {_strip('role')} AS role, {_strip('content')} AS c FROM chat_turn WHERE content IS NOT NULL), o AS (SELECT * FROM t WHERE c <> '')
+    SELECT *, {_ratio(r'\x{0590}-\x{06FF}')} AS share FROM (
+      SELECT deck, 0 AS slide_no, 0 AS line_no, coalesce(nullif(role, ''), 'Untitled Presentation') AS x FROM o UNION ALL SELECT deck, 1, 0, c FROM o UNION ALL SELECT deck, 1, 1, c FROM o)"""
+
+
+@query(f"SELECT deck, slide_no, line_no, x AS text, coalesce(share >= 0.3, false) AS is_rtl FROM ({_LINES})")
+def slide_rows(spark, d):  # K4
     turns = table(spark, d, "chat_turn").where("content IS NOT NULL")
-    deck = F.to_json(F.struct(F.col("role").alias("title"), F.array(F.struct(F.left("content", F.lit(40)).alias("heading"), F.array(F.col("content")).alias("bullets"))).alias("slides")))
+    deck = F.to_json(F.struct(F.col("role").alias("title"), F.array(F.struct(F.col("content").alias("heading"), F.array(F.col("content")).alias("bullets"))).alias("slides")))
     return outline.slide_rows(turns.select(F.concat_ws("-", "conv_id", "turn").alias("deck"), outline.normalise(deck).alias("o")), "deck", "o")
 
 
+def _sometimes(messages):
+    """A stand-in that gives an outline at once, after a correction, or not at all, by the number that the prompt ends in."""
+    kind = int(messages[0]["content"].rsplit(" ", 1)[-1]) % 3
+    if kind == 0 or kind == 1 and len(messages) == 2:
+        return '```json\n{"title": "Deck", "slides": [{"heading": "H", "bullets": []}]}\n```'
+    return "Sorry, no."
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 1 ELSE 2 END AS tries, CASE WHEN turn % 3 < 2 THEN 'Deck' END AS title,
+    CASE WHEN turn % 3 = 2 THEN 'Could not parse a slide outline from the model''s response.' END AS error FROM chat_turn""")
+def outline_retry(spark, d):  # N2
+    asked = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.coalesce("content", F.lit("")), F.lit(" "), F.col("turn").cast("string")).alias("content")))
+    got = table(spark, d, "chat_turn").select("conv_id", "turn", models.ask_outline(asked, _sometimes).alias("a"))
+    return got.select("conv_id", "turn", "a.tries", outline.normalise(F.col("a.raw"))["title"].alias("title"), "a.error")
+
+
+@query("""SELECT conv_id, turn, content AS answer FROM chat_turn WHERE content IS NOT NULL""")
+def chat_answers(spark, d):  # D12, the chat slot
+    asked = F.array(F.struct(F.lit("system").alias("role"), F.lit("Answer.").alias("content")), F.struct(F.lit("user").alias("role"), F.col("content").alias("content")))
+    return table(spark, d, "chat_turn").where("content IS NOT NULL").select("conv_id", "turn", models.chat(asked, models.MODELS["chat"])["text"].alias("answer"))
+
+
+@query("""SELECT file_id, CASE length(left(coalesce(markdown, ''), 4000)) % 3 WHEN 1 THEN 'sales' WHEN 2 THEN 'expense' ELSE 'unrecognized' END AS document_type,
+    CASE WHEN length(left(coalesce(markdown, ''), 4000)) % 3 > 0 THEN CAST(length(left(markdown, 4000)) AS DOUBLE) END AS amount FROM extracted_file""")
+def invoice_slot(spark, d):  # S20 L3 N3, the invoice slot: production shows a model the first 4000 characters
+    answers = table(spark, d, "extracted_file").select("file_id", models.classify(F.col("markdown"), models.MODELS["invoice"]).alias("raw"))
+    return ledger.decode(answers, "raw", ("file_id",)).select("file_id", "document_type", ledger.number("amount").alias("amount"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, regexp_replace(text, '[^\p{L}]', '', 'g') AS l, left(regexp_replace(text, '[^\p{L}]|[A-Za-z]', '', 'g'), 1) AS c FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN l = '' THEN NULL WHEN unicode(c) BETWEEN 1424 AND 1535 AND c <> '' THEN 'he' WHEN unicode(c) BETWEEN 1536 AND 1791 AND c <> '' THEN 'ar' ELSE 'en' END AS code FROM f""")
+def language_slot(spark, d):  # T9, the language slot
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", models.language(F.col("text"), models.MODELS["language"]).alias("code"))
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents")
+def html_entities(spark, d):  # T3: entities of a text that was written with them
+    written = F.replace(F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;")), F.lit('"'), F.lit("&quot;"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t.unescape(written).cast("binary")).alias("text"))
+
+
+@query(rf"""SELECT file_id, round({_ratio(r'\x{0590}-\x{05FF}')}, 6) AS hebrew_ratio FROM (SELECT file_id, array_to_string(list_slice(string_split(markdown, chr(10) || chr(10)), 1, 5), '') AS x FROM extracted_file)""")
+def first_pages(spark, d):  # L4 P4: what comes between blank lines stands for a page
+    pages = q.first_pages(F.split("markdown", "\n\n"))
+    return table(spark, d, "extracted_file").select("file_id", F.round(q.hebrew_ratio(pages), 6).alias("hebrew_ratio"))
+
+
+_BLOCKS = rf"""
+    WITH l AS (SELECT file_id, list_transform(string_split(coalesce(markdown, ''), chr(10)), lambda x: {_strip('x')}) AS ls FROM extracted_file),
+    m AS (SELECT file_id, list_transform(ls, lambda x: CASE WHEN x = '' THEN chr(1) WHEN regexp_matches(x, '^#{{1,6}}[ \t]') THEN chr(1) || 'h' || length(regexp_extract(x, '^(#{{1,6}})[ \t]', 1)) || chr(2) || {_strip("regexp_replace(x, '^#+', '')")} || chr(1)
+      WHEN regexp_matches(x, '^\|.*\|$') THEN CASE WHEN regexp_matches(x, '^[|:\- \t]+$') THEN chr(1) ELSE array_to_string(list_transform(string_split(substr(x, 2, length(x) - 2), '|'), lambda c: chr(1) || 'cell' || chr(2) || {_strip('c')} || chr(1)), '') END
+      WHEN regexp_matches(x, '^(?:[-*+]|\d{{1,9}}[.)])[ \t]') THEN chr(1) || 'item' || chr(2) || x || chr(1) ELSE chr(4) || x END) AS ms FROM l),
+    p AS (SELECT file_id, list_filter(string_split(array_to_string(ms, ''), chr(1)), lambda p: p <> '') AS ps FROM m),
+    b AS (SELECT file_id, generate_subscripts(ps, 1) AS block_no, unnest(ps) AS p FROM p),
+    k AS (SELECT file_id, block_no, CASE WHEN starts_with(p, chr(4)) THEN 'p' ELSE split_part(p, chr(2), 1) END AS kind, CASE WHEN starts_with(p, chr(4)) THEN replace(substr(p, 2), chr(4), ' ') ELSE split_part(p, chr(2), 2) END AS x FROM b)"""
+
+
+@query(_BLOCKS + rf" SELECT file_id, CAST(block_no AS BIGINT) AS block_no, kind, md5(x) AS text, coalesce({_ratio(r'\x{0590}-\x{06FF}')} >= 0.3, false) AS is_rtl FROM k")
+def docx_blocks(spark, d):  # K3
+    rows = table(spark, d, "extracted_file").select("file_id", F.posexplode(office.blocks(F.col("markdown"))).alias("at", "b"))
+    return rows.select("file_id", (F.col("at") + 1).cast("bigint").alias("block_no"), "b.kind", F.md5(F.col("b.text").cast("binary")).alias("text"), "b.is_rtl")
+
+
+_TEXT = f"regexp_replace(coalesce(markdown, ''), '[{t.MARKS}]', '', 'g')"
+
+
+@query()
+def document_markdown(spark, d):  # S2 S2a S3 S5 S6 P3 P5 A1 A2 K8: the texts stand for files, read by the stand-in models
+    m = models.MODELS
+    files_ = table(spark, d, "extracted_file").select(F.concat(F.coalesce("path", F.lit("none")), F.lit("#"), F.col("file_id").cast("string"), F.coalesce(t.suffix_of(F.col("path")), F.lit(""))).alias("path"), F.coalesce("markdown", F.lit("")).cast("binary").alias("content"), "hebrew_ocr_used")
+    done = files.extract(files_, F.col("hebrew_ocr_used"), m["document_markdown"], m["page_texts"], m["page_words"], m["image_script"])
+    return done.select("path", F.md5(F.col("markdown").cast("binary")).alias("markdown"), "used_ocr", "error")
+
+
 # ---- timestamps ------------------------------------------------------------------------------------------------------
 
 
