@@ -67,10 +67,20 @@ def _classes() -> dict[str, str]:
     return {c: top(c) for c in parent}
 
 
-_CLASS = str.maketrans(_classes())
-# Glyph groups in order, each written as the one that it passes for.
-_GROUPS = (("vv", "w"), ("rn", "m"), ("ii", "u"), ("li", "h"), ("ri", "n"), ("cl", "d"), ("ьl", "ы"), ("ьі", "ы"), ("ﬁ", "fi"), ("ﬂ", "fl"))
-_GROUPED = [(a.translate(_CLASS), b.translate(_CLASS)) for a, b in _GROUPS]
+_CLASS = _classes()
+# Glyphs that pass for two others side by side.
+_PARTS = {"n": "ri", "m": "rri", "h": "li", "u": "ii", "d": "cl", "w": "vv", "ﬁ": "fi", "ﬂ": "fl", "ы": "ьl"}
+
+
+def _strokes() -> dict[int, str]:
+    """What each glyph is written as in a skeleton: its class, or those of its parts. Taking apart has one result, where
+    putting together depends on the order (``rriing`` of ``rning`` could begin with ``ri`` or ``ii``)."""
+    parts = {_CLASS.get(c, c): "".join(_CLASS.get(p, p) for p in of) for c, of in _PARTS.items()}
+    known = set(_CLASS) | set(_PARTS) | {"і"}
+    return {ord(c): parts.get(k, k) for c in known for k in [_CLASS.get("l" if c == "і" else c, c)]}
+
+
+_STROKES = _strokes()
 _STRANGE = re.compile("[^\\w\\s'’‘\\-‐‑­¬./:,&%°״\"׳–—]")
 _EDGE = " \t.,;:!?()[]{}«»“”\"„‘’'…–—-‐‑¬\xad*·•|/\\>‹›،؛؟"
 
@@ -79,13 +89,9 @@ _BESIDE = re.compile("[^\\w!|@†(+$'ν]|_")
 
 
 def skeleton(word: str) -> str:
-    """What words share that scanners take for one another: confusable glyphs and groups in one form, symbols left out."""
-    form = _BESIDE.sub("", word.lower()).translate(_CLASS)
-    # glyph groups count both as read and as grouped, so all end in the shortest writing
-    for _ in range(2):
-        for a, b in _GROUPED:
-            form = form.replace(a, b)
-    return form
+    """What words share that scanners take for one another: confusable glyphs in one form, composed ones by their parts,
+    symbols left out."""
+    return _BESIDE.sub("", word.lower()).translate(_STROKES)
 
 
 def explained(noise: str, true: str) -> list[int] | None:
@@ -184,6 +190,10 @@ class Lexicon:
 
     def correct(self, token: str, before: str = "") -> tuple[str, list[int]] | None:
         """(form, places of the noise in ``token``) if the token is a misrecognised word, else None."""
+        if "¬¬" in token and any(map(str.isalpha, token)):  # a smudge as wide as a glyph
+            first = token.index("¬¬")
+            got = self.correct(token.replace("¬¬", "■"), before)
+            return (got[0] if got else core(token).lower()), [first]
         inner = core(token)
         if inner.lower() in self.words:
             return None
@@ -243,6 +253,7 @@ _LIST_ITEM = re.compile(r"\s*(?:\d{1,3}[.)]|[-–—•*·])\s+\S")
 _STAMP = re.compile(r"\d{1,2}[/.]\d{1,2}[/.]\d{2,4}\s+\d{1,2}[:.]\d{2}")
 _DIGITLIKE = str.maketrans("lI|OoSsB", "11100558")
 _NUMBER = re.compile(r"[\W_]*\d{1,4}(?:\s*/\s*\d{1,4})?[\W_]*")
+_OF_NUMBER = re.compile(r"[\W_]*[\dlIO|]{1,4}\s*/\s*[\dlIO|]{1,4}[\W_]*")
 _ROMAN = re.compile(r"\W*[IVXLC]{1,7}\W*|\W*[ivxlc]{1,7}\W*")
 _PAGE = re.compile(rf"\W*(?:{PAGE_WORDS})\W{{0,2}}\s*[\dlIO|oS]{{1,4}}(?:\s*(?:{OF_WORDS})\s*[\dlIO|oS]{{1,4}})?\W*", re.IGNORECASE)
 
@@ -254,7 +265,7 @@ def is_page_number(line: str) -> bool:
     if _PAGE.fullmatch(text) and re.search(r"[\dlIO|]", text):
         return True
     tight = text.translate(_DIGITLIKE) if len(text) <= 8 and re.search(r"\d", text) else text
-    return bool(_NUMBER.fullmatch(text) or _NUMBER.fullmatch(tight) or _NUMBER.fullmatch(tight.rstrip("1 ") + " ") and text[-1] == "|" or _ROMAN.fullmatch(text))
+    return bool(_NUMBER.fullmatch(text) or _OF_NUMBER.fullmatch(text) or _NUMBER.fullmatch(tight) or _NUMBER.fullmatch(tight.rstrip("1 ") + " ") and text[-1] == "|" or _ROMAN.fullmatch(text))
 
 
 def is_marked_header(line: str) -> bool:

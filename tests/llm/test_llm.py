@@ -326,6 +326,8 @@ def test_confusions():
     assert scans.explained("c0n7rac7ua1", "contractual") == [1, 3, 7, 10] and scans.explained("1nternat|0na1", "international") == [0, 8, 9, 12]
     assert scans.Lexicon({"contractual": 9, "international": 9}).correct("1nternat|0na1,")[0] == "international"
     assert scans.Lexicon({"regional": 9, "original": 9}).correct("reg■onal")[0] == "regional" and scans.is_page_number("pag. " + " " * 30 + "12")
+    assert scans.skeleton("concerriing") == scans.skeleton("concerning") and scans.explained("concerriing", "concerning") == [6]
+    assert scans.Lexicon({"vigilanza": 9}).correct("vig¬¬lanza;") == ("vigilanza", [3]) and scans.is_page_number("ll/ll") and not scans.is_page_number("il/la")
     assert scans.skeleton("arrenclatario") == scans.skeleton("arrendatario")
 
 
