@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.quality import LEAST_UNIQUE, LEAST_WORDS, LONGEST_RUN, PREFIX
+from quillspark.functions.quality import EQUIVALENT, LANGUAGE_WORDS, LEAST_UNIQUE, LEAST_WORDS, LONGEST_RUN, PREFIX
 
 
 def stub_embed(text: str) -> list[float]:
@@ -124,6 +124,17 @@ def _degenerate(text: str) -> bool:
     return best >= LONGEST_RUN
 
 
+def in_language(detect: Callable[[str], str | None]) -> Callable[[str, str], bool]:
+    """An ``accept`` for :func:`translate`: short texts pass, others must be in the language asked for, or in one that
+    detectors take for it."""
+    return lambda out, code: len(out.split()) < LANGUAGE_WORDS or detect(out) in (code, *EQUIVALENT.get(code, ()))
+
+
+def tagged(model: Callable[[str], str]) -> Callable[[str, str], str]:
+    """A model of tagged texts as one of (text, code)."""
+    return lambda text, code: model(f"<2{code}> {text}")
+
+
 # How deep and how small a failed translation is cut.
 DEEPEST, SMALLEST = 4, 40
 

@@ -175,6 +175,17 @@ def hebrew_resolve(spark, d):  # P1 P3 S3 P5
     return f.select("file_id", q.resolve_hebrew(F.col("hebrew_ocr_used"), t.suffix_of(F.col("path")), q.hebrew_ratio(F.col("markdown")), F.col("detected_lang") == "he").alias("hebrew"), q.native_text_serves(F.col("markdown"), F.lit(False)).alias("native_text"))
 
 
+@query("SELECT file_id, path, CAST(row_number() OVER (ORDER BY path NULLS FIRST, file_id) - 1 AS BIGINT) AS place FROM extracted_file")
+def files_in_order(spark, d):  # O1
+    return files.in_order(table(spark, d, "extracted_file").select("file_id", "path"), "path", "file_id")
+
+
+@query(rf"""SELECT path, CASE WHEN path IS NULL THEN 'Please upload a ZIP or PDF file first.' WHEN s = '.zip' THEN 'That file doesn''t look like a valid ZIP archive.' WHEN s <> '.pdf' THEN concat('Unsupported file type ', chr(39), s, chr(39), '. Upload a .zip or a .pdf.') END AS message
+    FROM (SELECT path, coalesce({_SUFFIX}, '') AS s FROM extracted_file)""")
+def batch_status(spark, d):  # P23
+    return files.batch_status(table(spark, d, "extracted_file").select("path", F.col("markdown").cast("binary").alias("content")))
+
+
 @query(rf"""SELECT file_id, CASE WHEN s IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp', '.tif', '.tiff', '.webp') THEN 'image' WHEN s = '.pdf' THEN CASE WHEN length_ > 20971520 THEN 'too_large' ELSE 'inline' END
       WHEN trim(coalesce(markdown, '')) = '' THEN 'placeholder' ELSE 'text' END AS route FROM (SELECT file_id, markdown, "length" AS length_, {_SUFFIX} AS s FROM extracted_file)""")
 def preview_route(spark, d):  # P2
@@ -504,6 +515,21 @@ _FOUND = r"""SELECT '%s' AS mode, source_page_url AS page_url, source_title AS t
     AND regexp_matches(pdf_url, '(?i)\.pdf(?:[?#]|$)') AND (pdf_url LIKE 'https://zchuyot.example/%%' OR pdf_url LIKE 'https://%%.zchuyot.example/%%')"""
 
 
+@query(r"""SELECT url, 1 AS depth FROM (SELECT DISTINCT source_page_url AS url FROM documents WHERE starts_with(regexp_extract(source_page_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/he/')) ORDER BY url LIMIT 100""")
+def sitemap_first(spark, d):  # L2 S13: the bound on pages is the feature
+    urls = table(spark, d, "documents").where("source_page_url IS NOT NULL").select(F.lit("root").alias("parent"), F.col("source_page_url").alias("child"), F.lit(False).alias("is_index"))
+    return crawl.walk_sitemaps(urls, "root", most=100)
+
+
+@query(r"""WITH u AS (SELECT DISTINCT pdf_url, lower(regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(pdf_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM manifest),
+    r AS (SELECT host, left(min(path), length(min(path)) - 6) AS bar FROM u WHERE length(path) > 6 GROUP BY 1)
+    SELECT pdf_url FROM u JOIN r USING (host) WHERE NOT starts_with(path, bar)""")
+def robots_gate(spark, d):  # S17: rules made of the addresses, hosts without any are barred
+    u = table(spark, d, "manifest").select("pdf_url", t.url_host(F.col("pdf_url")).alias("host"), t.url_path(F.col("pdf_url")).alias("path")).distinct()
+    rules = u.where("length(path) > 6").groupBy("host").agg(F.min("path").alias("least")).select("host", F.expr("left(least, length(least) - 6)").alias("path_prefix"))
+    return crawl.robots_allow(u.select("pdf_url"), rules, "pdf_url")
+
+
 @query(_FOUND % "full" + r" AND starts_with(regexp_extract(source_page_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/he/') UNION ALL " + _FOUND % "incremental")
 def discover_modes(spark, d):  # I3 S13 S14 P7 P8 P9 U1 L2
     m = table(spark, d, "manifest").where("source_page_url IS NOT NULL")
@@ -521,10 +547,10 @@ def _escaped(column):
     return F.replace(F.replace(F.replace(F.coalesce(column, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("'"), F.lit("&#39;"))
 
 
-@query("SELECT pdf_url, sha256(pdf_url) AS digest, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM pdf_fetch WHERE ts IS NOT NULL")
-def digests(spark, d):  # T25 T26
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return table(spark, d, "pdf_fetch").where("ts IS NOT NULL").select("pdf_url", F.sha2(F.col("pdf_url").cast("binary"), 256).alias("digest"), timestamps.instant_text(us).alias("at"))
+@query("SELECT file_id, sha256(markdown) AS digest, strftime(extracted_at, '%Y-%m-%dT%H:%M:%SZ') AS at FROM extracted_file")
+def digests(spark, d):  # T25 T26: the bytes are those of the text
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', extracted_at)")
+    return table(spark, d, "extracted_file").select("file_id", F.sha2(F.col("markdown").cast("binary"), 256).alias("digest"), timestamps.instant_text(us).alias("at"))
 
 
 @query("SELECT file_id, 'data:application/pdf;base64,' || to_base64(encode(coalesce(markdown, ''))) AS uri, '--- Content of ' || path || ' ---' || chr(10) || coalesce(markdown, '') AS block FROM extracted_file WHERE path IS NOT NULL")
@@ -558,6 +584,15 @@ def translate_retry(spark, d):  # I6 I7 I9 P21 A6 T23
     return retrieval.assemble(pieces.select("doc_id", "chunk_idx", F.col("r.text").alias("t"), F.col("r.ok").alias("ok")), "doc_id", "chunk_idx", "t", "ok")
 
 
+@query("""WITH p AS (SELECT conv_id, turn, content, turn % 3 > 0 AS ok FROM (SELECT DISTINCT conv_id, turn, content FROM chat_turn WHERE content IS NOT NULL)),
+    m AS (SELECT *, CASE WHEN ok THEN content ELSE '>>> COULD NOT TRANSLATE THIS SECTION (shown untranslated below) >>>' || chr(10) || content || chr(10) || '<<< END UNTRANSLATED SECTION <<<' END AS t FROM p),
+    a AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY turn, t) AS body, count(*) FILTER (NOT ok) AS failed, count(*) AS total FROM m GROUP BY 1)
+    SELECT conv_id, CASE WHEN failed > 0 THEN '⚠️ ' || failed || ' of ' || total || ' section(s) could not be translated and are shown in their ORIGINAL form below (marked with >>> / <<<).' || chr(10) || chr(10) || body ELSE body END AS text, CAST(failed AS BIGINT) AS failed, CAST(total AS BIGINT) AS total FROM a""")
+def assemble_sections(spark, d):  # A6 A10 T23
+    pieces = table(spark, d, "chat_turn").where("content IS NOT NULL").select("conv_id", "turn", "content").distinct().withColumn("ok", F.col("turn") % 3 > 0)
+    return retrieval.assemble(pieces, "conv_id", "turn", "content", "ok")
+
+
 _CODE = "CAST('0x' || left(md5(w), 8) AS UBIGINT)"
 
 

@@ -7,6 +7,7 @@ import io
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,16 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """O1: ``rows`` with ``place``, from 0 in order of the columns (nulls first): sorted by ranges over all tasks, and each
+    range's first place from the sizes of those before it. Equal rows have places in no stated order."""
+    ranged = cut(rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = sorted((r["__part"], r["n"]) for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row per task
+    starts = list(accumulate((n for _, n in sizes), initial=0))
+    first = rows.sparkSession.createDataFrame([(part, start) for (part, _), start in zip(sizes, starts)], "__part int, __first bigint")
+    return ranged.join(F.broadcast(first), "__part").withColumn("place", F.col("__first") + F.col("__at")).select(*rows.columns, "place")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = CANON) -> DataFrame:
     """Records of JSON lines; blank lines are skipped, a malformed one fails the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -70,6 +81,30 @@ def archive_entries(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "archive string, entry string, content binary, error string")
 
 
+# What is said of an upload that can't be worked on.
+NO_FILE, BAD_ARCHIVE, NOTHING_FOUND = "Please upload a ZIP or PDF file first.", "That file doesn't look like a valid ZIP archive.", "No supported files/pages found."
+
+
+def batch_status(uploads: DataFrame) -> DataFrame:
+    """(path, message) of uploads (path, content): null where there is something to work on, else what is wrong."""
+
+    @F.pandas_udf("string")
+    def inside(content: pd.Series) -> pd.Series:
+        def one(value: bytes) -> str | None:
+            try:
+                with zipfile.ZipFile(io.BytesIO(value)) as archive:
+                    return None if any(n.lower().endswith(OCR_SUFFIXES) for n in archive.namelist()) else NOTHING_FOUND
+            except Exception:
+                return BAD_ARCHIVE
+
+        return content.map(one, na_action="ignore").astype(object)
+
+    suffix = suffix_of(F.col("path"))
+    unfit = F.concat(F.lit("Unsupported file type '"), suffix, F.lit("'. Upload a .zip or a .pdf."))
+    zipped = inside(F.when(suffix == ".zip", F.coalesce("content", F.lit(b""))))
+    return uploads.select("path", F.when(F.col("path").isNull(), NO_FILE).when(suffix == ".zip", zipped).when(suffix != ".pdf", unfit).alias("message"))
+
+
 @F.pandas_udf(T.BinaryType())
 def gunzip(content: pd.Series) -> pd.Series:
     """Content without gzip, where it begins as gzip does; null where that is broken."""

@@ -315,6 +315,58 @@ def test_chunks_equal_the_rule():
     assert chunk_text("aa\n\nbb", 9) == ["aa bb"]
 
 
+def test_files_and_lines(spark, tmp_path):
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "e" / "a.pdf").write_bytes(b"12")
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in files.files(spark, str(tmp_path / "d")).collect()] == [("a.pdf", 2)]
+    (tmp_path / "x.jsonl").write_text('{"chunk_id": "c", "text": "t"}\n\n{"chunk_id": "d"}\n')
+    assert sorted((r["chunk_id"], r["text"]) for r in files.json_lines(spark, str(tmp_path / "x.jsonl")).collect()) == [("c", "t"), ("d", None)]
+    (tmp_path / "y.jsonl").write_text('{"chunk_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.json_lines(spark, str(tmp_path / "y.jsonl")).collect()
+    rows = spark.createDataFrame([(k % 7, f"p{k % 50:02d}", k) for k in range(300)] + [(1, None, 300)], "place0 int, path string, k int").repartition(5)
+    got = files.in_order(rows, "path", "k").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(301)) and [(r["path"] or "", r["k"]) for r in got] == sorted((r["path"] or "", r["k"]) for r in got)
+    assert files.in_order(rows.where("false"), "path").count() == 0
+
+
+def test_polite_fetching(spark):
+    from quillspark.sources.fetch import RateLimiter, fetch
+
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    limiter = RateLimiter(2.0, lambda: now[0], sleep)
+    for pause in (0.0, 0.5, 3.0):
+        limiter.wait()
+        now[0] += pause
+    limiter.wait()
+    assert slept == [2.0, 1.5]
+
+    def get(url, headers):
+        if url == "b":
+            raise OSError("timeout")
+        return {"status": 304 if headers else 200, "content": b"x", "etag": headers.get("If-None-Match")}
+
+    urls = spark.createDataFrame([("a", "e", None), ("b", None, None), ("c", None, None)], "pdf_url string, if_none_match string, if_modified_since string")
+    got = {r["pdf_url"]: r for r in fetch(urls, get, 0.01).collect()}
+    assert got["a"]["status"] == 304 and got["a"]["etag"] == "e" and got["b"]["transport_error"] == "timeout" and got["b"]["status"] is None and bytes(got["c"]["content"]) == b"x"
+
+
+def test_uploads_and_languages(spark):
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", b"2")
+    df = spark.createDataFrame([("x.zip", bytearray(box.getvalue())), ("bad.zip", None), ("a.pdf", None), ("a.doc", None), (None, None)], "path string, content binary")
+    assert {r["path"]: r["message"] for r in files.batch_status(df).collect()} == {"x.zip": files.NOTHING_FOUND, "bad.zip": files.BAD_ARCHIVE, "a.pdf": None, "a.doc": "Unsupported file type '.doc'. Upload a .zip or a .pdf.", None: files.NO_FILE}
+    accept = models.in_language(models.stub_language)
+    assert accept("one two", "he") and not accept("one two three four five six", "he") and accept("שלום " * 6, "he")
+    assert models.translate_text("a b", "it", models.tagged(str.upper), accept) == ("<2IT> A B", True)
+
+
 def test_batch_report(spark):
     raws = [json.dumps({"document_type": "sales", "amount": 2}), "broken", "broken"]
     got = ledger.batch_report(ledger.decode(spark.createDataFrame([(i, f"{3 - i}.pdf", r) for i, r in enumerate(raws)], "invoice_id int, filename string, raw string"))).orderBy("part", "place").collect()
