@@ -118,8 +118,9 @@ def current_values(rows: DataFrame, key: str, fields: Sequence[str], kind: str,
     spark = rows.sparkSession
     wide = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields)))
     cells = rows.select(key, F.coalesce(F.col(kind), F.lit("?")).alias("kind"), F.col(ts).alias("ts"), F.col(trust).alias("trust"), F.col(rec).alias("rec"), wide.alias("c")).select(key, "kind", "ts", "trust", "rec", "c.*").where(~is_missing(F.col("value")))
-    tallies = cells.groupBy("field", "value").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("field")))
-    frequent = tallies.where((F.col("share") >= LEAST_SHARE) & (F.col("n") >= LEAST_COUNT)).select("field", "value").collect()  # at most 1 / LEAST_SHARE a field
+    totals = {r["field"]: r["n"] for r in cells.groupBy("field").agg(F.count("*").alias("n")).collect()}
+    least = F.create_map(*(F.lit(x) for f in fields for x in (f, max(float(LEAST_COUNT), LEAST_SHARE * totals.get(f, 0)))))
+    frequent = cells.groupBy("field", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least[F.col("field")]).select("field", "value").collect()  # at most 1 / LEAST_SHARE a field
     classes = spark.createDataFrame([(r["field"], r["value"], r["value"]) for r in frequent], "field string, value string, cls string")
     cells = cells.join(F.broadcast(classes), ["field", "value"], "left")
     by_field: dict[str, list[tuple[str, str, int]]] = defaultdict(list)
