@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,12 @@ _REPEATED, _SOLID, _ESCAPED = re.compile(r"(\S)\1{9,}"), re.compile("[A-Za-z0-9+
 _HEX_PAIRS, _HEX_DUMP, _FILE_PARTS = re.compile(r"(?:\b[0-9a-f]{2}\s+){8,}"), re.compile(r"\b[0-9a-f]{8}\b \d"), re.compile(r"\b(?:endobj|endstream|xref)\b")
 
 
+_NO_LETTER = {code: " " for code in range(128) if not chr(code).isalpha()}
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    return low.translate(_NO_LETTER).split() if low.isascii() else _WORD.findall(low)
 
 
 def count_pairs(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -221,12 +226,12 @@ def cells(line: str) -> int:
     return 0
 
 
-def is_junky(body: str, tokens: list[str], digits: int) -> bool:
-    """Endless repetition, data or code. Each pattern runs only where the tokens allow it to match."""
-    sizes = list(map(len, tokens))
+def is_junky(body: str, sizes: list[int], digits: int, runs: bool) -> bool:
+    """Endless repetition, data or code. Each pattern runs only where the tokens' sizes allow it to match, and that for
+    repetition where some character of the text comes ten times in a row."""
     longest = max(sizes, default=0)
     return bool(
-        longest >= 10 and any(n >= 10 and len(set(t)) <= n - 9 for t, n in zip(tokens, sizes)) and _REPEATED.search(body) or longest >= 41 and _SOLID.search(body)
+        runs and longest >= 10 and _REPEATED.search(body) or longest >= 41 and _SOLID.search(body)
         or "%" in body and longest >= 12 and _ESCAPED.search(body) or len(sizes) >= 8 and sizes.count(2) >= 7 and _HEX_PAIRS.search(body) or digits and longest >= 8 and _HEX_DUMP.search(body)
         or ("endobj" in body or "endstream" in body or "xref" in body) and _FILE_PARTS.search(body)
     )
@@ -234,34 +239,49 @@ def is_junky(body: str, tokens: list[str], digits: int) -> bool:
 
 @lru_cache(maxsize=1)
 def _kinds() -> np.ndarray:
-    """1 for letters and their marks, 2 for digits, 0 for all other code points."""
-    kinds = np.zeros(0x110000, dtype=np.uint8)
-    for code in range(0x110000):
+    """1 for letters and their marks, 2^32 for digits, 0 for all other code points: sums of both in one number."""
+    kinds = np.zeros(0x110000, dtype=np.int64)
+    for code in range(0x32000):  # beyond, no letters or digits are assigned
         c = chr(code)
         if c.isdecimal():
-            kinds[code] = 2
+            kinds[code] = 1 << 32
         elif c.isalnum():
             kinds[code] = 1
     kinds[0x591:0x5C8] = kinds[0x64B:0x653] = 1
     return kinds
 
 
-def letters_and_digits(bodies: list[str]) -> tuple[list[int], list[int]]:
-    """How many letters and how many digits each line has."""
+def letters_and_digits(bodies: list[str]) -> tuple[list[int], list[int], bool]:
+    """How many letters and how many digits each line has, and whether any character comes ten times in a row."""
     joined = "\n".join(bodies) + "\n"
-    kinds = _kinds()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    starts = np.cumsum([0, *(len(x) + 1 for x in bodies[:-1])])
-    return np.add.reduceat(kinds == 1, starts, dtype=np.int64).tolist(), np.add.reduceat(kinds == 2, starts, dtype=np.int64).tolist()
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    turns = np.flatnonzero(codes[1:] != codes[:-1])
+    runs = len(turns) == 0 or bool(turns[0] >= 9 or (turns[1:] - turns[:-1]).max(initial=0) >= 10)  # the last character is a line feed of its own
+    starts = [0, *accumulate(len(x) + 1 for x in bodies[:-1])]
+    sums = np.add.reduceat(_kinds()[codes], starts).tolist()
+    return [n & 0xFFFFFFFF for n in sums], [n >> 32 for n in sums], runs
+
+
+def words_and_sentences(low: str) -> tuple[list[str], list[str]]:
+    """The words of a line in lower case, and those of its sentences that have over 12 characters of words."""
+    if low.isascii():
+        parts = [part.translate(_NO_LETTER).split() for part in _SENTENCE.split(low)]
+        return parts[0] if len(parts) == 1 else [w for part in parts for w in part], [s for part in parts if len(s := " ".join(part)) > 12]
+    tokens = _TOKEN.findall(low)
+    han = bool(_HAN.search(low))
+    parts = map(str.strip, _SENTENCE.split(" ".join(tokens)))
+    return [t for t in tokens if t not in _ENDERS], [s for s in parts if len(s) > 12 and (not han or not _HAN.search(s) or len(s.replace(" ", "")) > 12)]
 
 
 def line_codes(lines: list[str], known: frozenset[str]) -> list[int]:
     """What each line shows, as a code of its statistics. Lines aren't blank, but for "" between paragraphs."""
     text = [line for line in lines if line]
-    tokens_of = [_TOKEN.findall(line.lower()) for line in text]
-    bodies = [[t for t in tokens if t not in _ENDERS] for tokens in tokens_of]
+    bodies, sentences = [], []
+    for line in text:
+        words, parts = words_and_sentences(line.lower())
+        bodies.append(words)
+        sentences += parts
     width = max(map(len, text))
-    sentences = [s for tokens in tokens_of for s in _SENTENCE.split(" ".join(tokens)) if len(s) > 12 and len(s.strip() if s.isascii() or not _HAN.search(s) else s.replace(" ", "")) > 12]
-    sentences = list(map(str.strip, sentences))
     everything = [w for words in bodies for w in words]
     looping = len(sentences) >= 4 and len(set(sentences)) <= 0.4 * len(sentences) or len(everything) >= 20 and len(set(everything)) <= 0.12 * len(everything) + 2
     running = sum(bool(_INSIDE.search(line)) for line in text) >= 0.25 * len(text)  # sentences, so lines may break them anywhere
@@ -278,15 +298,16 @@ def line_codes(lines: list[str], known: frozenset[str]) -> list[int]:
                 full = len(line) + 1 + len(after.split(None, 1)[0]) > width and len(line) >= 0.6 * width
                 follows[k] = full or running and bool(bodies[k] and bodies[k + 1] and f"{bodies[k][-1]} {bodies[k + 1][0]}" in known)
     plain = [_ASIDE.sub("", line) if "<" in line or "://" in line or "(§" in line else line for line in text]
-    letters_of, digits_of = letters_and_digits(plain)
+    letters_of, digits_of, runs = letters_and_digits(plain)
+    step = _STEPS
     out = []
     for k, line in enumerate(text):
         rule = bool(_RULE.match(line) and _RULED.search(line))
         n_cells = cells(line)
         html = "<" in line and bool(_HTML_TABLE.match(line))
         body, letters, digits = plain[k], letters_of[k], digits_of[k]
-        tokens = body.split()
-        dense = sum(map(len, tokens))
+        sizes = list(map(len, body.split()))
+        dense = sum(sizes)
         signs = 1 - letters / dense if dense else 1.0
         noise = dense >= 8 and not rule and not html and letters + digits < 0.3 * dense
         level = 2 if html or rule or n_cells >= 3 else 1 if n_cells else 0
@@ -304,13 +325,13 @@ def line_codes(lines: list[str], known: frozenset[str]) -> list[int]:
             share = _familiarity(words, known) if words else 0.0
             familiar = 0 if share < 0.22 else 1 if share < 0.45 else 2
         odd = (not html and not rule and level < 2 or looping and level == 0) and (
-            noise or looping or is_junky(body, tokens, digits) or not words and not rule and not html or len(words) >= 12 and len(set(words)) <= 0.25 * len(words)
+            noise or looping or is_junky(body, sizes, digits, runs) or not words and not rule and not html or len(words) >= 12 and len(set(words)) <= 0.25 * len(words)
         )
-        values = (
-            items[k] and not rule, level, wrapped, (ended[k] or follows[k]) if not wrapped or ended[k] else 2, 3 if wrapped else 0 if len(line) < 50 else 1 if len(line) < 125 else 2,
-            0 if signs < 0.22 else 1 if signs < 0.5 else 2, familiar, odd,
-        )
-        out.append(sum(map(int.__mul__, map(int, values), _STEPS)) + (len(words) >= 25 and not _BREAK.search(line)))
+        end = (ended[k] or follows[k]) if not wrapped or ended[k] else 2
+        size = 3 if wrapped else 0 if len(line) < 50 else 1 if len(line) < 125 else 2
+        sign = 0 if signs < 0.22 else 1 if signs < 0.5 else 2
+        code = (items[k] and not rule) * step[0] + level * step[1] + bool(wrapped) * step[2] + end * step[3] + size * step[4] + sign * step[5] + familiar * step[6] + bool(odd) * step[7]
+        out.append(code + (len(words) >= 25 and not _BREAK.search(line)))
     return out
 
 
