@@ -286,6 +286,7 @@ def _misfits(before: str, span: str, better: str, after: str) -> int:
 
 
 # Marks that divide a word at a line's end, and smudges of scanners; these alone are no misreading.
+_BEYOND = re.compile("[^\x00-\x7f]+")
 _ADJACENT, _SHOUTED = re.compile("[^\x00-\x7f]{2}"), re.compile("[^\\W\\d_]+")
 _UTF8 = [k for k, (_, true) in enumerate(PAIRS, 1) if true == "utf-8"]
 _ASCII = re.compile("[\x00-\x7f]+")
@@ -551,6 +552,13 @@ class Model:
             for run in re.finditer(r"[^\x00-\x7f]+", line):
                 if s in labels[run.start() : run.end()]:
                     labels[run.start() : run.end()] = [s] * len(run.group())
+        for run in _BEYOND.finditer(line):  # a character cut off at a span's end belongs to it if the whole run decodes with it
+            inside = labels[run.start() : run.end()]
+            states = {x for x in inside if x}
+            if 0 in inside and len(states) == 1 and PAIRS[(state := states.pop()) - 1][1] == "utf-8":
+                whole = restore(run[0], *PAIRS[state - 1])
+                if whole is not None and LOSS not in whole and len(whole) < len(run[0]):
+                    labels[run.start() : run.end()] = [state] * len(inside)
         other, folded = self._other_script(line), _SHOUTED.sub(lambda m: m[0].lower() if m[0].isupper() and len(m[0].lower()) == len(m[0]) else m[0], line)
         out, start, used = [], 0, {}
         for i in range(1, len(line) + 1):

@@ -294,6 +294,14 @@ def test_long_lines_teach_as_short_ones_do():
     assert len(line) > 5000 and mojibake.trustworthy(line) == mojibake.trustworthy(line[:46])
 
 
+def test_a_span_takes_in_a_first_character_that_looks_clean():
+    line = "通常，承租人可以转让承租人在季度结束之前关于取暖补贴。"
+    bad = mojibake.misread(line, "cp1252", "utf-8")
+    model = model_of([*CLEAN * 4, HAN])
+    labels = [0, *[1] * (len(bad) - 1)]
+    assert bad[0] == "é" and model.repair(bad, labels)[0] == line
+
+
 def test_spans_of_many_pairs_in_a_line():
     pairs = [(CLEAN[0], ("cp1252", "utf-8")), (CLEAN[1], ("cp1250", "utf-8")), (CLEAN[4][:22], ("cp1252", "cp1251")), (CLEAN[3][:20], ("cp1252", "cp1255"))]
     line = " The employer shall keep the file and return the report. ".join(mojibake.misread(text, *pair) for text, pair in pairs)
